@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbstone.functions import jsonvalue
+from kerbstone.runtime import materialise
 
 #: Files whose values are handed to Spark at a time.
 FILES_PER_BATCH = 512
@@ -125,11 +126,10 @@ def annotation_children(files: DataFrame) -> DataFrame:
     boxed = lambda attribute: F.coalesce(of(attribute, four), F.lit(False))
     element = F.coalesce(*[F.when(F.col("schema_path") == p, F.lit(c)) for p, c in _ELEMENTS.items()])
     rows = (
-        values.where("schema_path <> '$.links'")
-        .withColumn("_name", name)
+        values.withColumn("_name", name)
         .groupBy("record_id", owner.alias("owner"))
         .agg(
-            F.max(F.when(F.col("kind") == "object", element)).alias("child"),
+            F.max(F.when((F.col("schema_path") == "$.links") & (F.col("kind") != "null"), F.lit("links")).when(F.col("kind") == "object", element)).alias("child"),
             F.max(F.when(F.col("_name").isNull(), F.col("ordinal"))).alias("pos"),
             F.max(F.when(F.col("_name").isNull(), F.col("schema_path") == "$.edges[]")).alias("edge"),
             of("id", scalar).alias("id"), of("source", scalar).alias("source"), of("target", scalar).alias("target"),
@@ -139,7 +139,8 @@ def annotation_children(files: DataFrame) -> DataFrame:
         )
         .where("child IS NOT NULL")
     )
-    linked = values.where("schema_path = '$.links' AND kind <> 'null'").select("record_id").distinct()
+    rows = materialise(rows, "children")  # read five times below
+    linked = rows.where("child = 'links'").select("record_id")
     edges = rows.where("child = 'link' AND edge").join(linked, "record_id", "left_anti")
     links = rows.where("child = 'link' AND NOT edge").unionByName(edges)
     ids = rows.where("child = 'node' AND id IS NOT NULL").groupBy("record_id", "id").agg(F.max("pos").alias("at"))
@@ -147,5 +148,5 @@ def annotation_children(files: DataFrame) -> DataFrame:
     placed = ends.join(ids, ["record_id", "id"], "left").groupBy("record_id", "pos").agg(*[F.coalesce(F.max(F.when(F.col("end") == i, F.col("at"))), F.lit(-1)).alias(n) for i, n in enumerate(("source_pos", "target_pos"))])
     link = placed.select(F.col("record_id").alias("file_id"), F.lit("link").alias("child"), "pos", "source_pos", "target_pos")
     kinds = F.filter(F.array("child", *[F.when((F.col("child") == c) & F.col(f"{c}_box"), F.lit(f"{c}_box")) for c in ("node", "detection")]), lambda x: x.isNotNull())
-    other = rows.where("child <> 'link'").select(F.col("record_id").alias("file_id"), F.explode(kinds).alias("child"), "pos", F.lit(-1).alias("source_pos"), F.lit(-1).alias("target_pos"))
+    other = rows.where("child IN ('node', 'detection')").select(F.col("record_id").alias("file_id"), F.explode(kinds).alias("child"), "pos", F.lit(-1).alias("source_pos"), F.lit(-1).alias("target_pos"))
     return other.unionByName(link)
