@@ -5,13 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbstone.llm import leakage
+from kerbstone.llm.encodings import find_garbled
 from kerbstone.llm.lookalikes import detections, misread_signs, with_form
 from kerbstone.llm.mixing import Mix, mix
 from kerbstone.llm.nearest_time import frames_to_samples
+from kerbstone.llm.splits import assign_parts, related
 from kerbstone.llm.tokens import encode_corpus
 from kerbstone.runtime import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = leakage.overlaps(table(spark, sf_dir, "split_records"))
+    return got.select(F.least("train_id", "eval_id").alias("record_a"), F.greatest("train_id", "eval_id").alias("record_b"))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.report(table(spark, sf_dir, "split_records"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return related(table(spark, sf_dir, "split_records").select("record_id", "drive_id", "place_id", "source"))
+
+
+def p4_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_parts(table(spark, sf_dir, "split_records").select("record_id", "drive_id", "place_id", "source"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return misread_signs(table(spark, sf_dir, "frame_texts").select("ann_id", "detections"), table(spark, sf_dir, "sign_lexicon"))
 
@@ -45,9 +65,34 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares.select("source", F.round("target_share", 9).alias("target_share"), F.round("actual_share", 9).alias("actual_share"), "tokens", "documents", "most_repeats")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_forms, p7_found, p8_ids, p9_chosen, p9_shares)}
+def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_garbled(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garbled(spark, sf_dir).select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled documents with the original text where it can be had."""
+    return _garbled(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_parts, p6_found, p6_forms, p7_found, p8_ids, p9_chosen, p9_shares, p10_found, p10_restored)}
 
 SQL = {
+    "p4_found": """
+WITH RECURSIVE r AS (
+  SELECT record_id, max(CASE WHEN lower(trim(drive_id)) NOT IN ('', 'unknown', 'n/a', '-') THEN lower(trim(drive_id)) END) AS d,
+    max(CASE WHEN lower(trim(place_id)) NOT IN ('', 'unknown', 'n/a', '-') THEN lower(trim(place_id)) END) AS p
+  FROM split_records WHERE record_id IS NOT NULL GROUP BY record_id),
+k AS (SELECT record_id, min(record_id) OVER (PARTITION BY d) AS d, min(record_id) OVER (PARTITION BY p) AS p, d IS NOT NULL AS has_d, p IS NOT NULL AS has_p FROM r),
+e AS (SELECT DISTINCT d AS u, p AS v FROM k WHERE has_d AND has_p UNION SELECT DISTINCT p, d FROM k WHERE has_d AND has_p),
+c(node, low) AS (SELECT u, u FROM e UNION SELECT e.v, c.low FROM c JOIN e ON e.u = c.node WHERE c.low < e.v),
+roots AS (SELECT node, min(low) AS root FROM c GROUP BY node),
+g AS (SELECT record_id, coalesce(root, CASE WHEN has_d THEN d WHEN has_p THEN p ELSE record_id END) AS group_id
+  FROM k LEFT JOIN roots ON node = CASE WHEN has_d THEN d WHEN has_p THEN p END)
+SELECT record_id, group_id FROM g QUALIFY count(*) OVER (PARTITION BY group_id) > 1""",
     "p7_found": """
 WITH f AS (
   SELECT sequence, idx, max(CASE WHEN adapter = 'drive' THEN 1000 ELSE 1 END * coalesce(ts, TRY_CAST(split_part(stem, '_', -1) AS BIGINT))) AS ts
