@@ -6,7 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -68,3 +68,17 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: str,
 
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def global_rank(df: DataFrame, column: str, name: str = "rank", width: int = 65_536) -> DataFrame:
+    """Adds the 0-based position by a dense non-negative integer column, without sorting the whole in one task.
+
+    Counts of value ranges give each range's offset; a window numbers the rows within a range. Equal values
+    have positions in no particular order.
+    """
+    ranged = df.withColumn("_range", F.expr(f"`{column}` DIV {width}"))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # one row per range
+    offsets = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return ranged.withColumn("_at", within).join(offsets, "_range").withColumn(name, F.col("_offset") + F.col("_at") - 1).drop("_range", "_at", "_offset")
