@@ -63,8 +63,11 @@ def ngram_buckets(c: Column, dim: int = 256, sizes: tuple[int, int] = (3, 5), lo
     """Bucket of every character n-gram of ``<text>``, repeats kept; no bucket for a blank text."""
     t = strip(F.coalesce(c, F.lit("")))
     p = F.concat(F.lit("<"), F.lower(t) if lowercase else t, F.lit(">"))
-    grams = [F.when(F.length(p) >= n, F.transform(F.sequence(F.lit(1), F.length(p) - (n - 1)), lambda i, n=n: F.pmod(F.crc32(F.encode(F.substr(p, i, F.lit(n)), "utf-8")), F.lit(dim)).cast("int"))).otherwise(F.array().cast("array<int>")) for n in range(sizes[0], sizes[1] + 1)]
-    return F.when(t == "", F.array().cast("array<int>")).otherwise(F.concat(*grams))
+    def grams(n: int) -> Column:
+        bucket = lambda i: F.pmod(F.crc32(F.encode(F.substr(p, i, F.lit(n)), "utf-8")), F.lit(dim)).cast("int")
+        return F.when(F.length(p) >= n, F.transform(F.sequence(F.lit(1), F.length(p) - (n - 1)), bucket)).otherwise(F.array().cast("array<int>"))
+
+    return F.when(t == "", F.array().cast("array<int>")).otherwise(F.concat(*map(grams, range(sizes[0], sizes[1] + 1))))
 
 
 def answer_array(c: Column) -> Column:

@@ -233,13 +233,42 @@ def coverage_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.coverage(*_checked(spark, sf_dir)).where("NOT (has_text AND has_graph)")
 
 
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbstone import pipeline
+    from kerbstone.config import Settings
+    from kerbstone.operators.encoder import encode_frames, random_weights
+
+    done = pipeline.prepare(table(spark, sf_dir, "annotation_files"), table(spark, sf_dir, "frame_texts"), Settings())
+    shape = pipeline.shape_of(done["vocabulary"], Settings())
+    return encode_frames(done["graphs"], shape, random_weights(shape))
+
+
+def frame_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A descriptor per frame by an untrained encoder: its length and first values."""
+    return _described(spark, sf_dir).select("frame", F.size("v").alias("width"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm2"), F.round(F.get("v", F.lit(0)), 6).alias("v0"), F.round(F.get("v", F.lit(255)), 6).alias("v255"))
+
+
+def mask_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each string's box is covered by a mask of the frame's larger objects, through the coded mask."""
+    from kerbstone.functions.masks import dynamic_scores, mask_of_boxes
+
+    nodes, strings = _frame_graph(spark, sf_dir)
+    box = F.array("x1", "y1", "x2", "y2")
+    objects = nodes.where("(x2 - x1) * (y2 - y1) > 0.01").groupBy("frame").agg(F.collect_list(box).alias("objects"))
+    texts = strings.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("string", box.alias("b")))).alias("s"))
+    both = texts.join(objects, "frame").select("frame", F.transform("s", lambda x: x.getField("b")).alias("boxes"), mask_of_boxes(F.col("objects"), F.lit(160), F.lit(120)).alias("mask"))
+    coded = both.withColumn("mask", F.coalesce("mask", F.lit(None).cast("struct<size: array<int>, counts: string>")))
+    scores = coded.withColumn("scores", dynamic_scores(F.col("boxes"), F.col("mask"), F.lit(160), F.lit(120)))
+    return scores.select("frame", F.posexplode("scores").alias("string", "score")).withColumn("score", F.round("score", 6))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         junk_text_filter, dynamic_text_filter, annotation_time_filter, text_switched_off, detection_boxes, pixel_boxes, frame_text_documents, recognizer_answers,
         pixel_predictions, dynamic_classes, scene_nodes, scene_edges, dropped_edges, vocabulary, edge_features, box_iou_pairs, relation_labels, neighbour_graph,
         neighbour_documents, *map(_attach, sg.STRATEGIES), fused_graph_edges, compatible_graphs, edge_normalizer_stats, edge_normalized, pool_mean_max, char_ngrams,
-        string_shuffle_control, acceptance_summary, acceptance_defects, coverage_diff,
+        string_shuffle_control, acceptance_summary, acceptance_defects, coverage_diff, frame_descriptors, mask_coverage,
     )
 }
 
@@ -343,7 +372,12 @@ FROM al JOIN every s ON s.frame = al.frame AND s.node = src JOIN every d ON d.fr
 FROM j LEFT JOIN nodes ON nodes.file_id = j.file_id GROUP BY j.file_id""",
     "string_shuffle_control": f"""WITH {_DET}, p AS (SELECT ann_id, det_pos, row_number() OVER (ORDER BY md5(concat_ws('|', 'place', ann_id, det_pos))) AS r FROM det),
 s AS (SELECT text, row_number() OVER (ORDER BY md5(concat_ws('|', '7', ann_id, det_pos))) AS r FROM det) SELECT ann_id, det_pos, text FROM p JOIN s USING (r)""",
+    "mask_coverage": f"""WITH {_DET}, {_GRAPH}, {_FRAME}, ob AS (SELECT frame, round_even(x1 * 160, 0) AS a, round_even(y1 * 120, 0) AS b, round_even(x2 * 160, 0) AS c, round_even(y2 * 120, 0) AS d FROM fn WHERE (x2 - x1) * (y2 - y1) > 0.01::DOUBLE),
+sb AS (SELECT frame, string, round_even(ax1 * 160, 0) AS a, round_even(ay1 * 120, 0) AS b, round_even(ax2 * 160, 0) AS c, round_even(ay2 * 120, 0) AS d FROM st WHERE frame IN (SELECT frame FROM ob)),
+px AS (SELECT sb.frame, string, x.x, y.y FROM sb, range(160) x(x), range(120) y(y) WHERE x.x >= sb.a AND x.x < sb.c AND y.y >= sb.b AND y.y < sb.d),
+hit AS (SELECT frame, string, count(*) AS h FROM px WHERE EXISTS (SELECT 1 FROM ob WHERE ob.frame = px.frame AND px.x >= ob.a AND px.x < ob.c AND px.y >= ob.b AND px.y < ob.d) GROUP BY ALL)
+SELECT sb.frame, sb.string, round(coalesce(h / ((c - a) * (d - b)), 0), 6) AS score FROM sb LEFT JOIN hit USING (frame, string)""",
     "coverage_diff": checks.COVERAGE_SQL,
     "acceptance_summary": checks.SUMMARY_SQL % {"graph": _GRAPH},
 }
-SQL["edge_normalized"] = SQL["edge_normalized"].replace("s AS (SELECT ", "s AS (SELECT ", 1).replace(f"stddev_samp(f9) AS d9)", "stddev_samp(f9) AS d9 FROM feat)")
+SQL["edge_normalized"] = SQL["edge_normalized"].replace("stddev_samp(f9) AS d9)", "stddev_samp(f9) AS d9 FROM feat)")
