@@ -28,7 +28,10 @@ RUN_MARGIN = 12.0
 #: Characters beyond ASCII such a run must have; fewer fit several readings.
 RUN_CHARS = 3
 #: Log odds and share of decodable bytes from which a word counts as UTF-8 with lost bytes.
-LOST_MARGIN, LOST_SHARE = 8.0, 0.6
+LOST_MARGIN, LOST_SHARE = 8.0, 0.5
+#: How many times as often one reading of a word must be seen as the other to speak for it, and the gain that
+#: does without such words.
+OFTEN, UNSEEN_MARGIN = 5, 30.0
 #: Share of words taken for garbled beforehand.
 PRIOR = 0.02
 _SMOOTHING = 0.02
@@ -95,15 +98,25 @@ def restore(text: str, chain: Chain) -> str:
 
 
 def recovered_share(text: str, chain: Chain) -> float:
-    """Share of the characters beyond ASCII that decode if the first step was UTF-8 and some bytes are lost."""
+    """Share of the bytes beyond ASCII that belong to a character of UTF-8, whole or begun, if the first step
+    wrote UTF-8 and some bytes are lost."""
+    data = b""
     for written, read in reversed(chain):
         if written != "utf-8":
             return 0.0
         back = _tables(read)[1]
-        data = "".join(back.get(ord(c), "ÿ") for c in text).encode("latin-1")
+        data = "".join(back.get(ord(c), "\xff") for c in text).encode("latin-1")
         text = data.decode("utf-8", "replace")
-    high = sum(1 for b in data if b > 0x7F)
-    good = sum(len(c.encode()) for c in text if c > "\x7f" and c != "�")
+    high = sum(b > 0x7F for b in data)
+    good = at = 0
+    while at < len(data):
+        lead = data[at]
+        most = 1 + (0xC2 <= lead) + (0xE0 <= lead) + (0xF0 <= lead) if lead < 0xF5 else 1
+        size = 1
+        while size < most and at + size < len(data) and 0x80 <= data[at + size] < 0xC0:
+            size += 1
+        good += size if size > 1 else 0
+        at += size
     return good / high if high else 0.0
 
 
@@ -121,10 +134,12 @@ def bigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Classifier:
-    """``weights[c, b]``: log probability of bucket b in class c; class 0 is right text, then CHAINS."""
+    """``weights[b, c]``: log probability of bucket b in class c; class 0 is right text, then CHAINS. ``seen``: how
+    often each word, in small letters and without punctuation, occurs in the training words taken for right."""
 
     weights: np.ndarray
     prior: np.ndarray
+    seen: Counter
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Log joint probability (word, class)."""
@@ -139,6 +154,13 @@ class Classifier:
         return out
 
 
+def core(word: str) -> str:
+    """A word in small letters without what is no letter or digit at its ends."""
+    w = word.lower()
+    at = [i for i, c in enumerate(w) if c.isalnum()]
+    return w[at[0] : at[-1] + 1] if at else w
+
+
 def _count(words: Counter) -> np.ndarray:
     keys = [w.encode("utf-8", "replace") for w in words]
     if not keys:
@@ -171,7 +193,10 @@ def train(words: Counter, rounds: int = 2) -> Classifier:
                     made[g] += n
             counts.append(_count(made))
         c = np.array(counts) + _SMOOTHING
-        model = Classifier(np.ascontiguousarray(np.log(c / c.sum(axis=1, keepdims=True)).T.astype(np.float32)), prior)
+        seen: Counter = Counter()
+        for w, n in clean.items():
+            seen[core(w)] += n
+        model = Classifier(np.ascontiguousarray(np.log(c / c.sum(axis=1, keepdims=True)).T.astype(np.float32)), prior, seen)
     return model
 
 
@@ -239,8 +264,11 @@ def _best_part(gain: np.ndarray) -> tuple[float, int, int]:
     return float(total[end] - total[first]), first, end
 
 
-def judge_run(model: Classifier, words: list[str], scores: np.ndarray) -> tuple[int, int, list[Verdict]] | None:
-    """Of consecutive words the part that a mistake between other encodings explains, if it gains RUN_MARGIN."""
+def judge_run(model: Classifier, words: list[str], scores: np.ndarray, lost: list[bool]) -> tuple[int, int, list[Verdict]] | None:
+    """Of consecutive words the part that a mistake between other encodings explains, if it gains RUN_MARGIN.
+
+    Words that look like UTF-8 with ``lost`` bytes are only read otherwise if words of the corpus come out.
+    """
     odds = scores[:, _LOOSE] - scores[:, :1] - (model.prior[1] - model.prior[0])
     hopeful = np.nonzero(np.maximum(odds, 0).sum(axis=0) > RUN_MARGIN)[0]
     best = None
@@ -254,6 +282,13 @@ def judge_run(model: Classifier, words: list[str], scores: np.ndarray) -> tuple[
         except UnicodeError:
             continue
         gained = float(_right(model, texts).sum() - (scores[first:end, 0] - model.prior[0]).sum())
+        # words of the corpus speak for the reading they are frequent in
+        votes = 0
+        for w, t in zip(words[first:end], texts, strict=True):
+            a, b = model.seen[core(w)], model.seen[core(t)]
+            votes += (b >= OFTEN * max(a, 1)) - (a >= OFTEN * max(b, 1))
+        if votes < 0 or votes == 0 and (gained <= UNSEEN_MARGIN or any(lost[first:end])):
+            continue
         if gained > RUN_MARGIN and (best is None or gained > best[0]):
             best = gained, first, end, [Verdict(chain, t) for t in texts]
     return best and best[1:]
@@ -326,19 +361,20 @@ def _inspect(model: Classifier, texts: list[str]) -> list[list[tuple[int, int, V
     loose = scores[:, _LOOSE].max(axis=1, initial=-np.inf) - scores[:, 0] - (model.prior[1] - model.prior[0]) if len(words) else np.zeros(0)
     out = []
     for t, f in zip(texts, found, strict=True):
-        spans = [(lo, hi, verdicts[index[w]]) for lo, hi, w in f if verdicts[index[w]]]
+        spans = {lo: (lo, hi, verdicts[index[w]]) for lo, hi, w in f if verdicts[index[w]]}
         if any(loose[index[w]] > 0 for _, _, w in f):
             run: list[tuple[int, int, str]] = []
             for item in [*f, None]:
                 if run and (item is None or between.search(t, run[-1][1], item[0])):
                     rows = [index[w] for _, _, w in run]
-                    got = judge_run(model, [w for _, _, w in run], scores[rows]) if any(loose[r] > 0 for r in rows) else None
+                    got = judge_run(model, [w for _, _, w in run], scores[rows], [verdicts[r] is not None for r in rows]) if any(loose[r] > 0 for r in rows) else None
                     if got:
-                        spans += [(lo, hi, v) for (lo, hi, w), v in zip(run[got[0] : got[1]], got[2], strict=True) if not verdicts[index[w]]]
+                        spans |= {lo: (lo, hi, v) for (lo, hi, _), v in zip(run[got[0] : got[1]], got[2], strict=True)}
                     run = []
-                if item and not verdicts[index[item[2]]]:
+                # a word that lost bytes of UTF-8 may turn out as one of another encoding
+                if item and (verdicts[index[item[2]]] is None or verdicts[index[item[2]]].text is None and "\ufffd" not in item[2]):
                     run.append(item)
-        out.append(sorted(spans, key=lambda s: s[0]))
+        out.append([spans[lo] for lo in sorted(spans)])
     return out
 
 
