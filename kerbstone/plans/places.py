@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbstone.functions.text import camera_stem, seconds_to_ns, stem_camera, stem_index, stem_stamp
 from kerbstone.operators import ground_truth as gt
 from kerbstone.operators import parts
 from kerbstone.operators.spatial import located
-from kerbstone.runtime import materialise, table
+from kerbstone.runtime import global_number, materialise, table
 from kerbstone.sources import catalog
 
 
@@ -27,16 +27,15 @@ def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positioned frames with side and a dense number ``n`` over all."""
+    """Positioned frames with their side."""
     placed = gt.frame_positions(_frames(spark, sf_dir), table(spark, sf_dir, "tracks")).where("northing IS NOT NULL").join(_sides(spark, sf_dir), "sequence")
-    return placed.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("sequence", "idx")) - 1)
+    return placed.select("sequence", "idx", "side", F.col("easting").alias("x"), F.col("northing").alias("y"))
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(queries, database, positives): dense query numbers over all query recordings, positives within 25 m."""
-    placed = materialise(_positions(spark, sf_dir).select("n", "sequence", "idx", "side", F.col("easting").alias("x"), F.col("northing").alias("y")), "places")
-    number = lambda side: placed.where(F.col("side") == side).withColumn("id", (F.row_number().over(Window.partitionBy("side").orderBy("n")) - 1).cast("long"))
-    queries, database = number("query"), number("database")
+    placed = materialise(global_number(_positions(spark, sf_dir), ["side"], ["sequence", "idx"], "id"), "places")
+    queries, database = (placed.where(F.col("side") == side) for side in ("query", "database"))
     return queries, database, materialise(gt.radius_positives(queries, database).select("q", "d"), "positives")
 
 
@@ -103,10 +102,7 @@ def radius_positives_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
 def revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One long recording by its samples: the share that comes back to a place."""
     own = located(table(spark, sf_dir, "tracks")).where("sequence = 'market_row_main'").groupBy("ts").agg(F.min(F.struct("easting", "northing")).alias("p"))
-    from kerbstone.runtime import global_rank
-
-    base = own.agg(F.min("ts")).first()[0] or 0
-    points = global_rank(own.withColumn("k", F.col("ts") - base), "k", "id", 60_000_000).select(F.col("id").cast("long").alias("id"), F.col("p.easting").alias("x"), F.col("p.northing").alias("y"))
+    points = global_number(own, [], ["ts"], "id").select("id", F.col("p.easting").alias("x"), F.col("p.northing").alias("y"))
     got = gt.revisit_fraction(materialise(points, "points"), 2.0)
     return got.select("frames", F.round("revisits", 6).alias("revisits"))
 
@@ -114,8 +110,8 @@ def revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Events as two recordings: (reference, query) frames with idx and ts in µs, loops and singles."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", _micros().alias("ts"))
-    number = lambda odd: e.where(F.col("user_id") % 2 == odd).withColumn("idx", (F.row_number().over(Window.partitionBy(F.lit(odd)).orderBy("ts", "event_id")) - 1).cast("long")).select("idx", "ts")
-    reference, query = number(0), number(1)
+    numbered = materialise(global_number(e.withColumn("odd", F.col("user_id") % 2), ["odd"], ["ts", "event_id"], "idx"), "events")
+    reference, query = (numbered.where(F.col("odd") == odd).select("idx", "ts") for odd in (0, 1))
     hour = 3_600_000_000
     keyed = query.where("idx % 7 IN (0, 3)")
     loops = keyed.where("idx % 7 = 0").select(F.col("idx").alias("loop"), F.col("ts").alias("query_ts"), (F.col("ts") - hour).alias("start_ts"), (F.col("ts") + hour).alias("end_ts"))
@@ -152,7 +148,7 @@ def fold_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fold_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _frames(spark, sf_dir).where("adapter = 'drive'").select("sequence", "stem").distinct()
-    numbered = frames.withColumn("q", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("stem", "sequence")) - 1)
+    numbered = global_number(frames, [], ["stem", "sequence"], "q")
     annotated = numbered.where("q % 3 <> 1").select("q", F.lit(0).alias("d"))
     return parts.fold_split(_folds(spark, sf_dir), 1, numbered, annotated)
 

@@ -41,7 +41,32 @@ def p5_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_bins, p2_found, p5_found, p5_attributes)}
 
+_NUMBERS = "CASE WHEN json_type({0}) = 'ARRAY' AND json_array_length({0}) = 4 THEN len(list_filter([json_type({0}, '$[' || i || ']') FOR i IN range(4)], lambda x: x IN ('DOUBLE', 'BIGINT', 'UBIGINT'))) = 4 ELSE false END"
+_TYPED = "CASE WHEN json_type({0}, '$.{1}') IN ('VARCHAR', 'BOOLEAN') THEN json_type({0}, '$.{1}') || ':' || ({0}->>'$.{1}') WHEN json_type({0}, '$.{1}') IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN 'n:' || CAST({0}->>'$.{1}' AS DOUBLE) END"
+_ARRAY = "json_each(CASE WHEN json_type(doc, '$.{0}') = 'ARRAY' THEN doc->'$.{0}' ELSE '[]'::JSON END)"
+
 SQL = {
+    "p1_found": """
+WITH f AS (SELECT DISTINCT ON (file_id) file_id, content, list_filter(string_split(lower(replace(file_path, '\\', '/')), '/'), lambda s: s NOT IN ('', '.')) AS seg FROM annotation_files WHERE json_valid(content)),
+t AS (SELECT file_id, any_value(seg[-4:]) AS key,
+  string_agg(e.fullkey || chr(1) || CASE WHEN e.type IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN 'n' || CAST(e.value->>'$' AS DOUBLE) WHEN e.type = 'VARCHAR' THEN 's' || (e.value->>'$') WHEN e.type IN ('OBJECT', 'ARRAY') THEN e.type ELSE coalesce(CAST(e.value AS VARCHAR), 'null') END, chr(2) ORDER BY e.fullkey) AS value
+  FROM f, json_tree(CAST(f.content AS JSON)) e WHERE len(seg) >= 4 GROUP BY file_id),
+g AS (SELECT *, min(file_id) OVER (PARTITION BY key, value) AS file_a FROM t)
+SELECT file_a, file_id AS file_b FROM g WHERE file_a < file_id""",
+    "p5_found": f"""
+WITH j AS (SELECT DISTINCT ON (file_id) file_id, CAST(content AS JSON) AS doc FROM annotation_files WHERE json_valid(content)),
+n0 AS (SELECT file_id, CAST(e.key AS INT) AS pos, e.value AS n, CASE WHEN coalesce(json_type(e.value, '$.data'), 'NULL') <> 'NULL' THEN e.value->'$.data' ELSE e.value END AS d FROM j, {_ARRAY.format('nodes')} e WHERE e.type = 'OBJECT'),
+n AS (SELECT file_id, pos, {_TYPED.format('n', 'id')} AS id, CASE WHEN coalesce(json_type(d, '$.bbox_2d'), 'NULL') <> 'NULL' THEN d->'$.bbox_2d'->'$.xyxy' ELSE d->'$.bbox' END AS box FROM n0),
+l AS (SELECT file_id, CAST(e.key AS INT) AS pos, e.value AS e FROM j, {_ARRAY.format('links')} e WHERE e.type = 'OBJECT'
+  UNION ALL SELECT file_id, CAST(e.key AS INT), e.value FROM j, {_ARRAY.format('edges')} e WHERE e.type = 'OBJECT' AND coalesce(json_type(doc, '$.links'), 'NULL') = 'NULL'),
+ids AS (SELECT file_id, id, max(pos) AS pos FROM n WHERE id IS NOT NULL GROUP BY ALL),
+k AS (SELECT file_id, pos, {_TYPED.format('e', 'source')} AS source, {_TYPED.format('e', 'target')} AS target FROM l),
+t AS (SELECT file_id, CAST(e.key AS INT) AS pos, e.value->'$.box' AS box FROM j, {_ARRAY.format('detections')} e WHERE e.type = 'OBJECT')
+SELECT file_id, 'node' AS child, pos, -1 AS source_pos, -1 AS target_pos FROM n
+UNION ALL SELECT file_id, 'node_box', pos, -1, -1 FROM n WHERE {_NUMBERS.format('box')}
+UNION ALL SELECT file_id, 'detection', pos, -1, -1 FROM t
+UNION ALL SELECT file_id, 'detection_box', pos, -1, -1 FROM t WHERE {_NUMBERS.format('box')}
+UNION ALL SELECT k.file_id, 'link', k.pos, coalesce(a.pos, -1), coalesce(b.pos, -1) FROM k LEFT JOIN ids a ON a.file_id = k.file_id AND a.id = k.source LEFT JOIN ids b ON b.file_id = k.file_id AND b.id = k.target""",
     "p2_found": """
 WITH p AS (
   SELECT DISTINCT sample_id, side, northing, easting, CAST(floor(northing / 5) AS BIGINT) gx, CAST(floor(easting / 5) AS BIGINT) gy

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     own = getattr(spark, "_kerbstone_shared", None)
     if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="kerbstone-")
+        folder = tempfile.mkdtemp(prefix="kerbstone-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        own = f"file://{folder}"
         spark._kerbstone_shared = own
     return own
 
@@ -82,3 +86,22 @@ def global_rank(df: DataFrame, column: str, name: str = "rank", width: int = 65_
     offsets = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_offset"))
     within = F.row_number().over(Window.partitionBy("_range").orderBy(column))
     return ranged.withColumn("_at", within).join(offsets, "_range").withColumn(name, F.col("_offset") + F.col("_at") - 1).drop("_range", "_at", "_offset")
+
+
+def global_number(df: DataFrame, groups: list[str], order: list[str], name: str = "number") -> DataFrame:
+    """Adds the 0-based position within ``groups`` by ``order`` (a total order), however large one group is.
+
+    Rows are range-partitioned and written, so that the ranges are final; positions count within a range, and the sizes of
+    the ranges before it are added from a table of one row per group and range.
+    """
+    keys = [*groups, *order]
+    parts = parallelism(df.sparkSession)
+    ranged = materialise(df.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id()), "ranged")
+    own = [*groups, "_range"]
+    counts = ranged.groupBy(*own).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*own, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    at = F.row_number().over(Window.partitionBy(*own).orderBy(*order))
+    condition = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in own]
+    joined = ranged.withColumn("_at", at).alias("r").join(offsets.alias("o"), condition)
+    return joined.select(*[F.col(f"r.`{c}`") for c in df.columns], (F.col("o._offset") + F.col("r._at") - 1).alias(name))

@@ -8,19 +8,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbstone.functions.text import camera_stem
+from kerbstone.runtime import global_number
 
 
 def indexed_frames(frames: DataFrame, allowed: DataFrame | None = None, pattern: str | None = None) -> DataFrame:
     """Each stem of a recording once with its position in the sorted stems (as text).
 
-    ``allowed`` (stem) limits the frames, ``pattern`` the form of a stem. Null stems are left out. A recording's frames are
-    numbered together, as its index is its order.
+    ``allowed`` (stem) limits the frames, ``pattern`` the form of a stem. Null stems are left out.
     """
     kept = frames.where("stem IS NOT NULL AND sequence IS NOT NULL")
     kept = kept if pattern is None else kept.where(F.col("stem").rlike(pattern))
     kept = kept if allowed is None else kept.join(allowed.select("stem"), "stem", "left_semi")
-    one = kept.select("sequence", "stem").distinct()
-    return one.withColumn("frame_index", F.row_number().over(Window.partitionBy("sequence").orderBy("stem")) - 1)
+    return global_number(kept.select("sequence", "stem").distinct(), ["sequence"], ["stem"], "frame_index")
 
 
 def camera_frames(frames: DataFrame, cameras: Sequence[str]) -> DataFrame:
@@ -28,9 +27,8 @@ def camera_frames(frames: DataFrame, cameras: Sequence[str]) -> DataFrame:
     prefixed by the camera; indices run on over the cameras of a traversal."""
     rank = F.array_position(F.array(*[F.lit(c) for c in cameras]), F.col("camera"))
     known = frames.where(F.col("camera").isin(*cameras)).withColumn("_rank", rank)
-    order = Window.partitionBy("traversal").orderBy("_rank", F.col("_stem"))
-    named = known.withColumn("_stem", F.col("stem")).withColumn("stem", camera_stem(F.col("camera"), F.col("stem"), cameras[0]))
-    return named.withColumn("frame_index", F.row_number().over(order) - 1).select("camera", "traversal", "stem", "frame_index")
+    named = known.select("camera", "traversal", "_rank", F.col("stem").alias("_stem"), camera_stem(F.col("camera"), F.col("stem"), cameras[0]).alias("stem"))
+    return global_number(named, ["traversal"], ["_rank", "_stem"], "frame_index").select("camera", "traversal", "stem", "frame_index")
 
 
 def order_defects(frames: DataFrame) -> DataFrame:
