@@ -63,10 +63,11 @@ def discard(spark: SparkSession, path: str) -> None:
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: str, salts: int = 8, how: str = "inner") -> DataFrame:
     """Equi join whose ``small`` side has one row per key while ``big`` may hold a hot key.
 
-    Rows of a key are spread over ``salts`` tasks; ``small`` is replicated that many times.
+    Rows of a key are spread over ``salts`` tasks; ``small`` is replicated that many times. It is never broadcast, as
+    its size is that of the keys.
     """
     left = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
