@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters drawn alike, Cyrillic and Greek ones under the Latin letter, then pairs of
 #: the two under the Cyrillic one.
@@ -192,8 +193,7 @@ def with_form(rows: DataFrame, text: str, form: str = "form") -> DataFrame:
     """Adds the consistent form of a string column; other columns stay, a column of that name is replaced."""
     kept = [c for c in rows.columns if c != form]
     at = kept.index(text)
-    fields = [f for f in rows.schema.fields if f.name != form]
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields) + f", `{form}` string"
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name != form), T.StructField(form, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -56,7 +56,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: int, bucket: i
             con.execute("SET memory_limit = '512MB'")
             con.register("f", f)
             con.register("s", s)
-            got = con.execute(_JOIN, {"tolerance": tolerance}).to_arrow_table()
+            got = con.sql(_JOIN, params={"tolerance": tolerance}).to_arrow_table()
         rows = f.take(got.column("row"))
         return pa.table([rows.column("entity"), rows.column("key"), got.column("id"), got.column("gap")], schema=schema)
 
