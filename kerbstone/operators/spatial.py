@@ -65,6 +65,26 @@ class Quadtree:
         row, k = np.nonzero(fresh)
         return row, corners[row, k]
 
+    def overlapped(self, x1: float, y1: float, x2: float, y2: float) -> list[int]:
+        """The leaves that a box meets; beyond the sampled box, those at its border."""
+        top = (1 << DEPTH) - 1
+        cut = lambda v, o: min(max(int((v - o) // self.cell), 0), top)
+        a, b, c, d = cut(x1, self.x0), cut(y1, self.y0), cut(x2, self.x0), cut(y2, self.y0)
+        found, stack = [], [(0, 0, 0, DEPTH)]
+        while stack:
+            code, i, j, level = stack.pop()
+            side = 1 << level
+            if i > c or j > d or i + side <= a or j + side <= b:
+                continue
+            first = int(np.searchsorted(self.starts, np.uint64(code), side="right")) - 1
+            last = int(np.searchsorted(self.starts, np.uint64(code + side * side - 1), side="right")) - 1
+            if first == last:
+                found.append(first)
+                continue
+            half, quarter = side >> 1, side * side >> 2
+            stack.extend((code + q * quarter, i + (q & 1) * half, j + (q >> 1) * half, level - 1) for q in range(4))
+        return sorted({*found})
+
 
 def build_quadtree(x: np.ndarray, y: np.ndarray, side_b: np.ndarray, scale: float, radius: float, leaf_points: int = LEAF_POINTS) -> Quadtree:
     """Splits while a leaf is expected to hold more than ``leaf_points`` (``scale`` rows per sampled
@@ -219,6 +239,79 @@ def near_pairs(points: DataFrame, radius: float, leaf_points: int = LEAF_POINTS)
     return spread.repartition(parts, "leaf", "salt").sortWithinPartitions("leaf", "salt").mapInArrow(probe, "id_a long, id_b long")
 
 
+def in_polygon(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """Which points lie in a polygon (even-odd over its one ring) or on its border."""
+    ax, ay = ring[:, 0], ring[:, 1]
+    bx, by = np.roll(ax, -1), np.roll(ay, -1)
+    px, py = x[:, None], y[:, None]
+    cross = (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+    on = (cross == 0) & (np.minimum(ax, bx) <= px) & (px <= np.maximum(ax, bx)) & (np.minimum(ay, by) <= py) & (py <= np.maximum(ay, by))
+    spans = (ay > py) != (by > py)
+    left = np.where(by > ay, cross > 0, cross < 0)
+    return on.any(axis=1) | (np.count_nonzero(spans & left, axis=1) % 2 == 1)
+
+
+def containing_regions(points: DataFrame, regions: DataFrame, leaf_points: int = LEAF_POINTS) -> DataFrame:
+    """``id, region_id`` of each point (id, x, y) and every region (region_id, ring) that holds it, borders included.
+
+    ``ring`` is an array of [x, y] corners. A region goes to all leaves its bounds meet, a point to one, so each pair is found
+    once; crowded leaves are salted by points. Points and regions with nulls, and rings of under three corners, take no part. An
+    id delivered again counts once per place.
+    """
+    clean = points.select("id", "x", "y").where("id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    whole = regions.where("region_id IS NOT NULL AND size(ring) >= 3").where(~F.exists("ring", lambda c: c.isNull() | (F.size(c) != 2) | F.exists(c, lambda v: v.isNull() | F.isnan(v))))
+    tree, rows = sampled_quadtree(clean.select("x", "y", F.lit(False).alias("side_b")), 0.0, leaf_points=leaf_points)
+    spark = points.sparkSession
+    shipped = spark.sparkContext.broadcast(tree)
+    fields = ["leaf", "salt", "id", "x", "y", "region_id", "ring"]
+    schema = "leaf int, salt int, id long, x double, y double, region_id long, ring array<array<double>>"
+    corners = pa.list_(pa.list_(pa.float64()))
+
+    def place_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shipped.value
+        for batch in batches:
+            ids, x, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            leaf = t.leaf(x, y)
+            salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % t.salts_a[leaf]
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(ids), pa.array(x), pa.array(y), pa.nulls(n, pa.int64()), pa.nulls(n, corners)], names=fields)
+
+    def place_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shipped.value
+        for batch in batches:
+            out: list[tuple] = []
+            for region, ring in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lo, hi = np.min(ring, axis=0), np.max(ring, axis=0)
+                out += [(leaf, salt, region, ring) for leaf in t.overlapped(lo[0], lo[1], hi[0], hi[1]) for salt in range(t.salts_a[leaf])]
+            n = len(out)
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], corners)], names=fields)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, 2):
+            is_region = group.column("region_id").is_valid().to_numpy()
+            ids, x, y = (group.column(i).to_numpy()[~is_region] for i in range(2, 5))
+            region, rings = group.column(5).to_numpy()[is_region], [np.array(r) for r in group.column(6).filter(pa.array(is_region)).to_pylist()]
+            if not len(ids) or not len(region):
+                continue
+            ids, x, y = ids.astype(np.int64), x.astype(float), y.astype(float)
+            low, high = np.array([r.min(axis=0) for r in rings]), np.array([r.max(axis=0) for r in rings])
+            index = RTree(low[:, 0], low[:, 1], high[:, 0], high[:, 1])
+            for start in range(0, len(ids), 512):
+                px, py = x[start : start + 512], y[start : start + 512]
+                q, k = index.probe(px, py, px, py)
+                order = np.argsort(k, kind="stable")
+                q, k = q[order], k[order]
+                edges = np.flatnonzero(np.diff(k, prepend=-1, append=len(rings)))
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    inside = q[lo:hi][in_polygon(px[q[lo:hi]], py[q[lo:hi]], rings[k[lo]])]
+                    if len(inside):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[start + inside]), pa.array(np.full(len(inside), int(region[k[lo]])))], names=["id", "region_id"])
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / (8 * leaf_points)))
+    spread = clean.mapInArrow(place_points, schema).unionByName(whole.select(F.col("region_id").cast("long"), F.col("ring").cast("array<array<double>>")).mapInArrow(place_regions, schema))
+    return spread.repartition(parts, "leaf", "salt").sortWithinPartitions("leaf", "salt").mapInArrow(probe, "id long, region_id long").distinct()
+
+
 def located(tracks: DataFrame) -> DataFrame:
     """Samples with both coordinates, neither null nor NaN, and not both zero."""
     return tracks.where("northing IS NOT NULL AND easting IS NOT NULL AND NOT isnan(northing) AND NOT isnan(easting) AND NOT (northing = 0 AND easting = 0)")

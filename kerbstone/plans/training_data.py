@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from kerbstone.operators.compaction import compact
 from kerbstone.operators.nested import annotation_children, distinct_records, parent, shred
-from kerbstone.operators.spatial import near_samples
-from kerbstone.runtime import scratch_path, table
+from kerbstone.operators.spatial import containing_regions, located, near_samples
+from kerbstone.runtime import materialise, scratch_path, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_samples(table(spark, sf_dir, "tracks").select("sample_id", "side", "northing", "easting"))
 
 
+def p2_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many located samples lie within a kilometre square around where each recording starts."""
+    samples = located(table(spark, sf_dir, "tracks").select("sample_id", "sequence", "ts", "northing", "easting"))
+    numbered = samples.groupBy("sequence").agg(F.min(F.struct("ts", "sample_id", "easting", "northing")).alias("s")).withColumn("region_id", F.col("s.sample_id"))
+    corner = lambda i, j: F.array(F.col("s.easting") + i * 500.0, F.col("s.northing") + j * 500.0)
+    regions = materialise(numbered.select("sequence", "region_id", F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)).alias("ring")), "regions")
+    points = samples.select(F.col("sample_id").alias("id"), F.col("easting").alias("x"), F.col("northing").alias("y"))
+    inside = containing_regions(points, regions).groupBy("region_id").agg(F.count("*").alias("samples"))
+    return regions.select("sequence", "region_id").join(inside, "region_id").select("sequence", "samples")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotation_children(table(spark, sf_dir, "annotation_files").select("file_id", "content"))
 
@@ -39,7 +50,7 @@ def p5_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.select(F.col("record_id").alias("file_id"), "dewey", parent(F.col("dewey")).alias("parent"), "schema_path", "kind", "value")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_bins, p2_found, p5_found, p5_attributes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_bins, p2_found, p2_regions, p5_found, p5_attributes)}
 
 _NUMBERS = "CASE WHEN json_type({0}) = 'ARRAY' AND json_array_length({0}) = 4 THEN len(list_filter([json_type({0}, '$[' || i || ']') FOR i IN range(4)], lambda x: x IN ('DOUBLE', 'BIGINT', 'UBIGINT'))) = 4 ELSE false END"
 _TYPED = "CASE WHEN json_type({0}, '$.{1}') IN ('VARCHAR', 'BOOLEAN') THEN json_type({0}, '$.{1}') || ':' || ({0}->>'$.{1}') WHEN json_type({0}, '$.{1}') IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN 'n:' || CAST({0}->>'$.{1}' AS DOUBLE) END"
@@ -67,6 +78,10 @@ UNION ALL SELECT file_id, 'node_box', pos, -1, -1 FROM n WHERE {_NUMBERS.format(
 UNION ALL SELECT file_id, 'detection', pos, -1, -1 FROM t
 UNION ALL SELECT file_id, 'detection_box', pos, -1, -1 FROM t WHERE {_NUMBERS.format('box')}
 UNION ALL SELECT k.file_id, 'link', k.pos, coalesce(a.pos, -1), coalesce(b.pos, -1) FROM k LEFT JOIN ids a ON a.file_id = k.file_id AND a.id = k.source LEFT JOIN ids b ON b.file_id = k.file_id AND b.id = k.target""",
+    "p2_regions": """
+WITH l AS (SELECT DISTINCT ON (sample_id) sample_id, sequence, ts, easting AS x, northing AS y FROM tracks WHERE northing IS NOT NULL AND easting IS NOT NULL AND NOT isnan(northing) AND NOT isnan(easting) AND NOT (northing = 0 AND easting = 0)),
+r AS (SELECT sequence, min({'ts': ts, 'id': sample_id, 'x': x, 'y': y}) AS s FROM l GROUP BY sequence)
+SELECT r.sequence, count(*) AS samples FROM r JOIN l ON l.x BETWEEN r.s.x - 500 AND r.s.x + 500 AND l.y BETWEEN r.s.y - 500 AND r.s.y + 500 GROUP BY r.sequence""",
     "p2_found": """
 WITH p AS (
   SELECT DISTINCT sample_id, side, northing, easting, CAST(floor(northing / 5) AS BIGINT) gx, CAST(floor(easting / 5) AS BIGINT) gy

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from kerbstone.operators import spatial
-from kerbstone.operators.spatial import RTree, near_samples
+from kerbstone.operators.spatial import RTree, containing_regions, near_samples
 
 
 def brute(rows, radius):
@@ -65,3 +65,33 @@ def test_rtree_equals_brute_force():
         a, b = r.uniform(0, 50, 40), r.uniform(0, 50, 40)
         got = set(zip(*(v.tolist() for v in RTree(x1, y1, x2, y2).probe(a, b, a + 2, b + 2)), strict=True))
         assert got == {(i, k) for i in range(40) for k in range(n) if x1[k] <= a[i] + 2 and x2[k] >= a[i] and y1[k] <= b[i] + 2 and y2[k] >= b[i]}
+
+
+def contains(ring, x, y):
+    inside = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+        cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        if cross == 0 and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+            return True
+        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+            inside = not inside
+    return inside
+
+
+def test_regions(spark):
+    r = random.Random(9)
+    points = [(i, float(r.randrange(400)), float(r.randrange(400))) for i in range(1500)]
+    regions = []
+    for k in range(25):
+        x, y, n = r.randrange(-30, 400), r.randrange(-30, 400), r.choice([3, 4, 7])
+        regions.append((k, [[float(x + r.randrange(120)), float(y + r.randrange(120))] for _ in range(n)]))
+    regions.append((90, [[-1e6, -1e6], [1e6, -1e6], [1e6, 1e6], [-1e6, 1e6]]))
+    regions.append((91, [[100.0, 100.0], [200.0, 100.0], [200.0, 200.0], [100.0, 200.0]]))
+    dirty = [(91, None), (92, [[0.0, 0.0], [1.0, 1.0]]), (None, regions[-1][1]), (93, [[0.0, 0.0], [1.0, None], [2.0, 2.0]])]
+    p = spark.createDataFrame([*points, points[0], (None, 1.0, 1.0), (7777, None, 1.0), (7778, float("nan"), 1.0)], "id long, x double, y double")
+    g = spark.createDataFrame([*regions, *dirty], "region_id long, ring array<array<double>>")
+    want = {(i, k) for i, x, y in points for k, ring in regions if contains(ring, x, y)}
+    for leaf in (30, 10_000):
+        got = [tuple(row) for row in containing_regions(p, g, leaf).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert containing_regions(p.limit(0), g).count() == containing_regions(p, g.limit(0)).count() == 0
