@@ -58,7 +58,8 @@ class Box:
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), c))
+    """Null stays null, which ``least`` and ``greatest`` alone would pass over."""
+    return F.when(c.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), c)))
 
 
 def from_centre(cx: Column, cy: Column, w: Column, h: Column) -> Box:
@@ -129,8 +130,8 @@ def relation_label(a: Box, b: Box) -> Column:
 
 
 def pixel_bounds(b: Box, width: Column, height: Column) -> Box:
-    """Whole pixels, halves to even, clipped to the frame."""
-    at = lambda v, n: F.least(n, F.greatest(F.lit(0), F.bround(v * n).cast("int")))
+    """Whole pixels, halves to even, clipped to the frame; null where a coordinate or the size is null."""
+    at = lambda v, n: F.when((v * n).isNotNull(), F.least(n, F.greatest(F.lit(0), F.bround(v * n).cast("int"))))
     return Box(at(b.x1, width), at(b.y1, height), at(b.x2, width), at(b.y2, height))
 
 
@@ -146,5 +147,6 @@ def from_polygon(points: Column, width: Column, height: Column) -> Box:
 
 
 def from_grid(value: Column, size: Column, grid: int = 1000) -> Column:
-    """A coordinate of a 0..grid answer in pixels, clipped to the frame."""
-    return F.least(size.cast("double"), F.greatest(F.lit(0.0), value / F.lit(float(grid)) * size))
+    """A coordinate of a 0..grid answer in pixels, clipped to the frame; null for null."""
+    at = value / F.lit(float(grid)) * size
+    return F.when(at.isNotNull(), F.least(size.cast("double"), F.greatest(F.lit(0.0), at)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbstone.functions import text as t
-from kerbstone.functions.geometry import from_pixels, from_polygon
+from kerbstone.functions.geometry import from_grid, from_pixels, from_polygon
 
 #: Classes that leave the scene or show changing text, other names for classes, and what
 #: open-vocabulary segmenters are asked for besides.
@@ -135,7 +135,7 @@ def word_answers(answers: DataFrame) -> DataFrame:
     word = F.coalesce(*[F.when(F.schema_of_variant(F.try_variant_get("v", f"$.{n}", "variant")) == "STRING", F.try_variant_get("v", f"$.{n}", "string")) for n in ("text", "label")])
     known = items.withColumn("_b", F.when(word.isNotNull(), box)).withColumn("text", t.strip(word))
     outside = F.coalesce(F.exists("_b", lambda x: (x < 0) | (x > 1000)), F.lit(False))
-    at = lambda i, size: F.least(F.col(size).cast("double"), F.greatest(F.lit(0.0), F.get("_b", F.lit(i)) / 1000 * F.col(size)))
+    at = lambda i, size: from_grid(F.get("_b", F.lit(i)), F.col(size))
     placed = known.withColumn("_out", outside).withColumn("x", at(0, "width")).withColumn("y", at(1, "height")).withColumn("w", at(2, "width") - F.col("x")).withColumn("h", at(3, "height") - F.col("y"))
     placed = placed.withColumn("_ok", F.coalesce((F.col("w") > 0) & (F.col("h") > 0) & (F.col("text") != ""), F.lit(False)))
     whole = Window.partitionBy("key")

@@ -62,6 +62,8 @@ def test_pixel_boxes(spark):
     assert one(spark, F.array(q.x1, q.y1, q.x2, q.y2)) == [pytest.approx([0.0, 0.1, 0.3, 0.4])]
     b = g.pixel_bounds(Box(*[F.lit(v) for v in (0.25, 0.75, 1.5, 0.0)]), F.lit(2), F.lit(2))
     assert one(spark, F.array(b.x1, b.y1, b.x2, b.y2)) == [[0, 2, 2, 0]]
+    none = F.lit(None).cast("double")
+    assert one(spark, F.array(g.clamp(none), g.from_grid(none, F.lit(5)), g.pixel_bounds(b, F.lit(None).cast("int"), F.lit(2)).x1.cast("double"))) == [[None] * 3]
 
 
 def test_junk(spark):
