@@ -178,7 +178,7 @@ def train(words: Counter, rounds: int = 2) -> Classifier:
         clean = Counter({w: n for w, n in words.items() if "\ufffd" not in w})
         if model is not None and clean:
             for w, v in zip(list(clean), judge_words(model, list(clean)), strict=True):
-                if v is not None:
+                if v:
                     del clean[w]
         cased = clean + Counter({w.upper(): 1 for w in clean}) + Counter({w.capitalize(): 1 for w in clean})
         counts = [_count(cased)]
@@ -213,6 +213,7 @@ _PROVEN = np.array([1 + i for i, c in enumerate(CHAINS) if c[0][0] == "utf-8"])
 _LOOSE = np.array([1 + i for i, c in enumerate(CHAINS) if c[0][0] != "utf-8"])
 #: The chain reported for replacement characters: bytes beyond ASCII were given up.
 REPLACED: Chain = (("utf-8", "ascii"),)
+_ORDER = {c: i for i, c in enumerate((*CHAINS, REPLACED))}
 
 
 def _right(model: Classifier, words: list[str]) -> np.ndarray:
@@ -220,10 +221,10 @@ def _right(model: Classifier, words: list[str]) -> np.ndarray:
     return model.scores(words)[:, 0] - model.prior[0] if words else np.zeros(0)
 
 
-def judge_words(model: Classifier, words: list[str], scores: np.ndarray | None = None) -> list[Verdict | None]:
-    """Words that were UTF-8 once: the classifier proposes chains, likeliest first; of those that invert
-    strictly the one with the likeliest right text is taken, if it gains MARGIN over the word as it is."""
-    out: list[Verdict | None] = [None] * len(words)
+def judge_words(model: Classifier, words: list[str], scores: np.ndarray | None = None) -> list[list[Verdict]]:
+    """Words that were UTF-8 once: of the chains the classifier proposes those that invert strictly to a text likelier, by
+    MARGIN, than the word as it is, the likeliest first; none for a right word."""
+    out: list[list[Verdict]] = [[] for _ in words]
     if not words:
         return out
     scores = model.scores(words) if scores is None else scores
@@ -238,23 +239,28 @@ def judge_words(model: Classifier, words: list[str], scores: np.ndarray | None =
                 continue
             if t != words[i]:
                 asked.append((i, chain, t))
-    best: dict[int, tuple[float, Verdict]] = {}
     before = scores[:, 0] - model.prior[0]
-    for (i, chain, t), after in zip(asked, _right(model, [t for _, _, t in asked]).tolist(), strict=True):
-        if after - before[i] > MARGIN and (i not in best or after > best[i][0]):
-            best[i] = after, Verdict(chain, t)
-    for i, (_, v) in best.items():
-        out[i] = v
+    after = _right(model, [t for _, _, t in asked])
+    for n in np.argsort(-after, kind="stable").tolist():
+        i, chain, t = asked[n]
+        if after[n] - before[i] > MARGIN:
+            out[i].append(Verdict(chain, t))
     for i in np.nonzero(odds.max(axis=1) > LOST_MARGIN)[0].tolist():
         chain = CHAINS[_PROVEN[int(np.argmax(odds[i]))] - 1]
-        if out[i] is None and recovered_share(words[i], chain) >= LOST_SHARE:
-            out[i] = Verdict(chain, None)
+        if not out[i] and recovered_share(words[i], chain) >= LOST_SHARE:
+            out[i] = [Verdict(chain, None)]
     for i, w in enumerate(words):
         if "\ufffd" in w:
-            out[i] = Verdict(REPLACED, None)
+            out[i] = [Verdict(REPLACED, None)]
     return out
 
 
+def _agreed(verdicts: list[list[Verdict]]) -> list[Verdict]:
+    """Of each word's readings the one whose chain reads most words of the text, of equally good ones the first in CHAINS."""
+    votes = Counter(v.chain for readings in verdicts for v in readings)
+    return [max(readings, key=lambda v: (votes[v.chain], -_ORDER[v.chain])) for readings in verdicts]
+
+
 def _best_part(gain: np.ndarray) -> tuple[float, int, int]:
     """(sum, first, end) of the consecutive part with the largest sum."""
     total = np.concatenate([[0.0], np.cumsum(gain)])
@@ -361,18 +367,19 @@ def _inspect(model: Classifier, texts: list[str]) -> list[list[tuple[int, int, V
     loose = scores[:, _LOOSE].max(axis=1, initial=-np.inf) - scores[:, 0] - (model.prior[1] - model.prior[0]) if len(words) else np.zeros(0)
     out = []
     for t, f in zip(texts, found, strict=True):
-        spans = {lo: (lo, hi, verdicts[index[w]]) for lo, hi, w in f if verdicts[index[w]]}
+        read = [(lo, hi, verdicts[index[w]]) for lo, hi, w in f if verdicts[index[w]]]
+        spans = {lo: (lo, hi, v) for (lo, hi, _), v in zip(read, _agreed([r for _, _, r in read]), strict=True)}
         if any(loose[index[w]] > 0 for _, _, w in f):
             run: list[tuple[int, int, str]] = []
             for item in [*f, None]:
                 if run and (item is None or between.search(t, run[-1][1], item[0])):
                     rows = [index[w] for _, _, w in run]
-                    got = judge_run(model, [w for _, _, w in run], scores[rows], [verdicts[r] is not None for r in rows]) if any(loose[r] > 0 for r in rows) else None
+                    got = judge_run(model, [w for _, _, w in run], scores[rows], [bool(verdicts[r]) for r in rows]) if any(loose[r] > 0 for r in rows) else None
                     if got:
                         spans |= {lo: (lo, hi, v) for (lo, hi, _), v in zip(run[got[0] : got[1]], got[2], strict=True)}
                     run = []
                 # a word that lost bytes of UTF-8 may turn out as one of another encoding
-                if item and (verdicts[index[item[2]]] is None or verdicts[index[item[2]]].text is None and "\ufffd" not in item[2]):
+                if item and all(v.text is None and v.chain != REPLACED for v in verdicts[index[item[2]]]):
                     run.append(item)
         out.append([spans[lo] for lo in sorted(spans)])
     return out

@@ -16,7 +16,8 @@ RANGE_BITS = 12
 
 @dataclass(frozen=True)
 class Mix:
-    """``chosen`` (doc_id, source, n_tokens, repeats) and ``shares`` per source."""
+    """``chosen`` (doc_id, source, n_tokens, repeats) and ``shares`` per source: the target, the actual share of the
+    mix and of the total it should have had, which is less where a source was too small."""
 
     chosen: DataFrame
     shares: DataFrame
@@ -66,5 +67,5 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
     used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
     shares = plan.join(used, "source", "left").fillna(0, ["tokens", "documents", "most_repeats"])
     grand = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # over the listed sources
-    shares = shares.select("source", "target_share", F.when(grand > 0, F.col("tokens") / grand).otherwise(F.lit(0.0)).alias("actual_share"), F.col("budget").alias("target_tokens"), "tokens", "documents", "most_repeats")
+    shares = shares.select("source", "target_share", F.when(grand > 0, F.col("tokens") / grand).otherwise(F.lit(0.0)).alias("actual_share"), (F.col("tokens") / F.lit(float(max(total, 1)))).alias("share_of_total"), F.col("budget").alias("target_tokens"), "tokens", "documents", "most_repeats")
     return Mix(chosen, shares)

@@ -62,7 +62,7 @@ def p9_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share per source."""
-    return _mix(spark, sf_dir).shares.select("source", F.round("target_share", 9).alias("target_share"), F.round("actual_share", 9).alias("actual_share"), "tokens", "documents", "most_repeats")
+    return _mix(spark, sf_dir).shares.select("source", F.round("target_share", 9).alias("target_share"), F.round("actual_share", 9).alias("actual_share"), F.round("share_of_total", 9).alias("share_of_total"), "tokens", "documents", "most_repeats")
 
 
 def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,7 @@ def test_shares_and_caps(spark):
         tokens = sum(r["n_tokens"] * r["repeats"] for r in by[s])
         own = {i: n for i, n in size.items() for x in docs if x[0] == i and x[2] == s}
         assert shares[s]["tokens"] == tokens
+        assert shares[s]["share_of_total"] == pytest.approx(tokens / total)
         assert max(r["repeats"] for r in by[s]) <= caps[s]
         if sum(own.values()) * caps[s] >= share * total:
             assert abs(tokens - share * total) <= max(own.values()) / 2
