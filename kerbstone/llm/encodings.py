@@ -202,10 +202,12 @@ def train(words: Counter, rounds: int = 2) -> Classifier:
 
 @dataclass(frozen=True)
 class Verdict:
-    """The chain of a garbled word; ``text`` is the word restored, None where bytes are lost."""
+    """The chain of a garbled word; ``text`` is the word restored, None where bytes are lost, ``gain`` how much
+    likelier it is, in nats."""
 
     chain: Chain
     text: str | None
+    gain: float = 0.0
 
 
 #: Classes whose first step wrote UTF-8, so that inverting is a proof, and the others.
@@ -244,7 +246,7 @@ def judge_words(model: Classifier, words: list[str], scores: np.ndarray | None =
     for n in np.argsort(-after, kind="stable").tolist():
         i, chain, t = asked[n]
         if after[n] - before[i] > MARGIN:
-            out[i].append(Verdict(chain, t))
+            out[i].append(Verdict(chain, t, float(after[n] - before[i])))
     for i in np.nonzero(odds.max(axis=1) > LOST_MARGIN)[0].tolist():
         chain = CHAINS[_PROVEN[int(np.argmax(odds[i]))] - 1]
         if not out[i] and recovered_share(words[i], chain) >= LOST_SHARE:
@@ -256,9 +258,15 @@ def judge_words(model: Classifier, words: list[str], scores: np.ndarray | None =
 
 
 def _agreed(verdicts: list[list[Verdict]]) -> list[Verdict]:
-    """Of each word's readings the one whose chain reads most words of the text, of equally good ones the first in CHAINS."""
-    votes = Counter(v.chain for readings in verdicts for v in readings)
-    return [max(readings, key=lambda v: (votes[v.chain], -_ORDER[v.chain])) for readings in verdicts]
+    """Of each word's readings the one whose chain reads most words of the text, of equally good ones that of the
+    likeliest text as a whole, then the first in CHAINS."""
+    votes: Counter = Counter()
+    worth: Counter = Counter()
+    for readings in verdicts:
+        for v in readings:
+            votes[v.chain] += 1
+            worth[v.chain] += v.gain
+    return [max(readings, key=lambda v: (votes[v.chain], round(worth[v.chain], 3), -_ORDER[v.chain])) for readings in verdicts]
 
 
 def _best_part(gain: np.ndarray) -> tuple[float, int, int]:
