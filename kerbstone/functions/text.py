@@ -30,6 +30,16 @@ def label_or_unknown(*candidates: Column) -> Column:
     return F.when(t.isNull() | (t == ""), F.lit("unknown")).otherwise(t)
 
 
+def fill_template(template: str, **names: str) -> str:
+    """A path template with its names; a name it lacks, or one it has too many, is an error."""
+    import string
+
+    used = {f for _, f, _, _ in string.Formatter().parse(template) if f}
+    if used != {*names}:
+        raise ValueError(f"{template!r} uses {sorted(used)}, given are {sorted(names)}")
+    return template.format(**names)
+
+
 def camera_stem(camera: Column, stem: Column, primary: str) -> Column:
     return F.when(camera == primary, stem).otherwise(F.concat_ws("-", camera, stem))
 

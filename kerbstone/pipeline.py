@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import dataclasses
+import json
+import os
+from collections.abc import Mapping, Sequence
 from typing import Any
 
+import numpy as np
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbstone.config import Settings
 from kerbstone.functions.geometry import Box, is_valid_box
+from kerbstone.functions.hashing import positives_digest, settings_fingerprint
 from kerbstone.operators import encoder, retrieval
 from kerbstone.operators import scene_graph as sg
 from kerbstone.operators import text_filters as tf
+from kerbstone.sources.writers import save_arrays, save_json
 
 
 def prepare(files: DataFrame, frame_texts: DataFrame, settings: Settings) -> dict[str, DataFrame]:
@@ -80,3 +87,70 @@ def transfer_problems(source: Mapping[str, Any], target: Mapping[str, Any], shap
     if target.get("text_dim", shape.text) != shape.text:
         out.append("the target's text vectors are of another width than the model's")
     return out
+
+
+def fingerprint(settings: Settings) -> str:
+    """Of every setting that changes prepared graphs."""
+    return settings_fingerprint({"preprocess": dataclasses.asdict(settings.preprocess), "schema": 3})
+
+
+def validate(settings: Settings, frames: DataFrame) -> dict[str, int]:
+    """Frames per sequence the settings name; ValueError for a sequence without any."""
+    wanted = settings.dataset.sequences
+    found = {r["sequence"]: r["n"] for r in frames.where(F.col("sequence").isin(*wanted)).groupBy("sequence").agg(F.count("*").alias("n")).collect()}
+    lacking = [s for s in wanted if s not in found]
+    if lacking:
+        raise ValueError(f"no frames of {', '.join(lacking)}")
+    return found
+
+
+def split_document(parts: DataFrame, positives: DataFrame, settings: Settings) -> dict[str, Any]:
+    """The split as one document: positives, queries per part, those excluded, and how it was made.
+
+    ``parts`` has q, part and perhaps excluded. The document holds every query and is meant for a benchmark, not for a corpus.
+    ValueError if training or test is empty.
+    """
+    rows = parts.withColumn("excluded", F.col("excluded") if "excluded" in parts.columns else F.lit(False)).orderBy("q").collect()
+    of = lambda p, out: [r["q"] for r in rows if r["part"] == p and r["excluded"] == out]
+    truth = {r["q"]: sorted(r["d"]) for r in positives.groupBy("q").agg(F.collect_set("d").alias("d")).collect()}
+    d = settings.dataset
+    out: dict[str, Any] = {"positives": truth, "positives_sha256": positives_digest(truth), "protocol": d.split_guard or "temporal", "split_fold": d.split_fold, "split_fold_count": d.split_fold_count}
+    for p in ("train", "validation", "test"):
+        out[f"{p}_query_indices"], out[f"excluded_{p}_query_indices"] = of(p, False), of(p, True)
+    if not out["train_query_indices"] or not out["test_query_indices"]:
+        raise ValueError("the split has no training or no test query")
+    return out
+
+
+def check_split(document: Mapping[str, Any], settings: Settings) -> None:
+    """ValueError for a split of another protocol or fold than the settings'."""
+    d = settings.dataset
+    for key, want in (("protocol", d.split_guard or "temporal"), ("split_fold", d.split_fold), ("split_fold_count", d.split_fold_count)):
+        if document.get(key) != want:
+            raise ValueError(f"the split's {key} is {document.get(key)!r}, the settings' {want!r}")
+
+
+def save_checkpoint(folder: str, shape: encoder.Shape, weights: Mapping[str, np.ndarray], manifest: Mapping[str, Any], epoch: int = 0) -> None:
+    """Weights, then what they fit, each whole or not at all."""
+    save_arrays(os.path.join(folder, "weights.npz"), weights)
+    save_json({"shape": dataclasses.asdict(shape), "manifest_sha256": settings_fingerprint(manifest), "epoch": epoch}, os.path.join(folder, "checkpoint.json"))
+
+
+def load_checkpoint(folder: str, manifest: Mapping[str, Any] | None = None) -> tuple[encoder.Shape, dict[str, np.ndarray], int]:
+    """(shape, weights, epoch); ValueError if it was saved for another manifest."""
+    with open(os.path.join(folder, "checkpoint.json"), encoding="utf-8") as f:
+        info = json.load(f)
+    if manifest is not None and info["manifest_sha256"] != settings_fingerprint(manifest):
+        raise ValueError("the checkpoint belongs to another manifest")
+    with np.load(os.path.join(folder, "weights.npz"), allow_pickle=False) as a:
+        return encoder.Shape(**info["shape"]), dict(a), info["epoch"]
+
+
+def epochs_without_improvement(metrics: Sequence[float], warm_up: int = 0) -> int:
+    """How many epochs, after the warm-up, have passed since the best one; for early stopping."""
+    best, since = float("-inf"), 0
+    for epoch, value in enumerate(metrics):
+        better = value > best
+        best = max(best, value)
+        since = 0 if better or epoch < warm_up else since + 1
+    return since

@@ -118,6 +118,45 @@ def test_transfer():
     assert pipeline.transfer_problems(a, {**a, "node_class_to_idx": {str(i): i for i in range(9)}}, s)
 
 
+def test_split_documents(spark):
+    s = config.settings_from({})
+    parts = spark.createDataFrame([(0, "train", False), (1, "test", False), (2, "test", True)], "q long, part string, excluded boolean")
+    positives = spark.createDataFrame([(0, 5), (0, 4), (1, 5)], "q long, d long")
+    doc = pipeline.split_document(parts, positives, s)
+    assert doc["positives"] == {0: [4, 5], 1: [5]} and doc["test_query_indices"] == [1] and doc["excluded_test_query_indices"] == [2] and doc["validation_query_indices"] == []
+    pipeline.check_split(doc, s)
+    with pytest.raises(ValueError, match="split_fold"):
+        pipeline.check_split(doc, config.settings_from({"dataset": {"split_fold": 1, "split_fold_count": 3}}))
+    with pytest.raises(ValueError, match="no test"):
+        pipeline.split_document(parts.where("part = 'train'").drop("excluded"), positives, s)
+    frames = spark.createDataFrame([("seq1",), ("seq2",), ("seq2",)], "sequence string")
+    assert pipeline.validate(s, frames) == {"seq1": 1, "seq2": 2}
+    with pytest.raises(ValueError, match="seq2"):
+        pipeline.validate(s, frames.where("sequence = 'seq1'"))
+    assert pipeline.fingerprint(s) != pipeline.fingerprint(config.settings_from({"preprocess": {"connection_k": 2}}))
+    assert pipeline.fingerprint(s) == pipeline.fingerprint(config.settings_from({"retrieval": {"top_k": 5}}))
+
+
+def test_checkpoints(tmp_path):
+    s = Shape(**SMALL)
+    w = random_weights(s, 3)
+    pipeline.save_checkpoint(str(tmp_path / "c"), s, w, {"a": 1}, 4)
+    shape, weights, epoch = pipeline.load_checkpoint(str(tmp_path / "c"), {"a": 1})
+    assert shape == s and epoch == 4 and np.allclose(Encoder(shape, weights).encode(*frame()), Encoder(s, w).encode(*frame()))
+    with pytest.raises(ValueError):
+        pipeline.load_checkpoint(str(tmp_path / "c"), {"a": 2})
+
+
+def test_small_driver_functions():
+    from kerbstone.functions.text import fill_template
+
+    assert pipeline.epochs_without_improvement([1, 3, 2, 3, 1]) == 3 and pipeline.epochs_without_improvement([]) == 0
+    assert pipeline.epochs_without_improvement([3, 1, 1, 1], warm_up=2) == 2
+    assert fill_template("{sequence}/graphs", sequence="s") == "s/graphs"
+    with pytest.raises(ValueError):
+        fill_template("{sequence}/{camera}", sequence="s")
+
+
 @pytest.mark.parametrize(
     "bad",
     [
