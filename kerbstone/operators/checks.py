@@ -9,6 +9,7 @@ from kerbstone.functions.geometry import is_valid_box
 from kerbstone.operators import scene_graph as sg
 from kerbstone.operators.compaction import path_key
 from kerbstone.operators.text_filters import DETECTOR_DYNAMIC, DYNAMIC_CLASSES
+from kerbstone.runtime import side_by_side
 
 KINDS = ("missing_text", "missing_graph", "dynamic_nodes", "degenerate_boxes", "dangling_edges", "binding_errors")
 
@@ -69,7 +70,7 @@ def summary(frames: DataFrame, files: DataFrame) -> DataFrame:
     per = graphs.select("file_id").join(sg.raw_nodes(graphs).groupBy("file_id").agg(F.count("*").alias("n")), "file_id", "left")
     nodes = per.agg(F.count("*").alias("graphs"), F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), F.count_if(F.col("n").isNull()).alias("empty_graphs"))
     count = frames.where("sequence IS NOT NULL AND idx IS NOT NULL").select("sequence", "idx").distinct().agg(F.count("*").alias("frames"))
-    whole = found.crossJoin(nodes).crossJoin(count)  # three single rows
+    whole = side_by_side(found, nodes, count)
     none = F.lit(True)
     for k in KINDS:
         none = none & (F.col(k) == 0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbstone.operators.asof import interpolate, nearest
 from kerbstone.operators.spatial import located, near_pairs
+from kerbstone.runtime import side_by_side
 
 #: The metric radius, and the frames that must lie between two visits of a place.
 RADIUS_M, REVISIT_SPAN = 25.0, 200
@@ -57,7 +58,7 @@ def revisit_fraction(positions: DataFrame, radius: float = RADIUS_M, span: int =
     pairs = radius_positives(a, b, radius).where(F.col("d") >= F.col("q") + span)
     hits = pairs.agg(F.count_distinct("q").alias("hits"))
     total = positions.agg(F.count("*").alias("frames"))
-    return total.crossJoin(hits).select("frames", F.when(F.col("frames") > span, F.col("hits") / F.col("frames")).otherwise(F.lit(0.0)).alias("revisits"))  # two single rows
+    return side_by_side(total, hits).select("frames", F.when(F.col("frames") > span, F.col("hits") / F.col("frames")).otherwise(F.lit(0.0)).alias("revisits"))
 
 
 def map_correspondences(loops: DataFrame, reference: DataFrame, query: DataFrame, tolerance: int = TOLERANCE_NS, strict: bool = True) -> DataFrame:
@@ -92,11 +93,11 @@ def inherited_positives(loops: DataFrame, singles: DataFrame, query: DataFrame)
     Keyframes are the queries of ``loops`` (with ``query_ts``) and ``singles`` (ts) inside the queries' time range. A single, or a loop
     without both ends, gives no positives; a loop at the stamp of a single counts.
     """
-    span = query.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    span = query.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     has = F.col("start_index").isNotNull() & F.col("end_index").isNotNull()
     of_loops = loops.select(F.col("query_ts").alias("t"), F.when(has, F.struct(F.least("start_index", "end_index").alias("a"), F.greatest("start_index", "end_index").alias("b"))).alias("i"))
     of_singles = singles.select(F.col("ts").alias("t"), F.lit(None).cast("struct<a:long,b:long>").alias("i"))
-    keys = of_loops.unionByName(of_singles).crossJoin(F.broadcast(span)).where("t BETWEEN lo AND hi").select("t", "i")  # one row
+    keys = of_loops.unionByName(of_singles).where(F.col("t").between(F.lit(span["lo"]).cast("long"), F.lit(span["hi"]).cast("long")))
     at = keys.select(F.lit("x").alias("by"), "t").distinct().withColumn("k", F.col("t"))
     got = nearest(query.select("idx", F.lit("x").alias("by"), F.col("ts").alias("t")), at, "by", "t", ["k"]).select("idx", F.col("found.k").alias("k"))
     intervals = keys.where("i IS NOT NULL").select(F.col("t").alias("k"), "i")
@@ -109,6 +110,7 @@ def extend_folds(folds: DataFrame, frames: DataFrame, max_gap: int) -> DataFrame
     """
     stamp = F.when(F.col("stem").rlike(r"^\d+$"), F.expr("try_cast(stem AS BIGINT)"))
     known = folds.select(F.col("fold").cast("string").alias("by"), stamp.alias("t"), "part").where("t IS NOT NULL")
-    asked = folds.select("fold").distinct().crossJoin(frames.select("stem", F.col("ts").alias("t"))).withColumn("by", F.col("fold").cast("string"))  # a few folds
+    every = F.array(*[F.lit(r["fold"]) for r in folds.select("fold").distinct().collect()]).cast("array<int>")  # a handful
+    asked = frames.select(F.explode(every).alias("fold"), "stem", F.col("ts").alias("t")).withColumn("by", F.col("fold").cast("string"))
     got = nearest(asked, known, "by", "t", ["part"], max_gap).where("found IS NOT NULL").select("fold", F.col("found.part").alias("part"), "stem")
     return folds.select("fold", "part", "stem").unionByName(got.join(folds.select("fold", "stem"), ["fold", "stem"], "left_anti").select("fold", "part", "stem"))

@@ -137,8 +137,9 @@ def interval_positives_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digit-named frames of the drives dealt to three folds in runs of frames."""
     rows = _frames(spark, sf_dir).where("adapter = 'drive'").select("stem", "idx").distinct()
+    rows = rows.select("stem", "idx", F.explode(F.array(*map(F.lit, range(3)))).alias("fold"))
     fold = (F.floor(F.col("idx") / 10) % 3).cast("int")
-    return rows.crossJoin(spark.range(3).select(F.col("id").cast("int").alias("fold"))).select("fold", F.when(fold == F.col("fold"), "test").when(fold == (F.col("fold") + 1) % 3, "validation").otherwise("train").alias("part"), "stem")  # three folds
+    return rows.select("fold", F.when(fold == F.col("fold"), "test").when(fold == (F.col("fold") + 1) % 3, "validation").otherwise("train").alias("part"), "stem")
 
 
 def fold_extension(spark: SparkSession, sf_dir: str) -> DataFrame:

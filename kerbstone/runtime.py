@@ -75,6 +75,14 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One row of the columns of several single-row results."""
+    out = rows[0].withColumn("_one", F.lit(1))
+    for r in rows[1:]:
+        out = out.join(r.withColumn("_one", F.lit(1)), "_one")
+    return out.drop("_one")
+
+
 def global_rank(df: DataFrame, column: str, name: str = "rank", width: int = 65_536) -> DataFrame:
     """Adds the 0-based position by a dense non-negative integer column, without sorting the whole in one task.
 
