@@ -9,14 +9,16 @@ decodes strictly.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator, Mapping
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbstone.runtime import materialise, salted_join
+
 #: Rows whose words train the classifier: the only bound, and on training alone.
 TRAINING_ROWS = 6_000
 #: Hash buckets of the bigrams.
@@ -278,34 +280,56 @@ def _best_part(gain: np.ndarray) -> tuple[float, int, int]:
     return float(total[end] - total[first]), first, end
 
 
-def judge_run(model: Classifier, words: list[str], scores: np.ndarray, lost: list[bool]) -> tuple[int, int, list[Verdict]] | None:
-    """Of consecutive words the part that a mistake between other encodings explains, if it gains RUN_MARGIN.
+@dataclass(frozen=True)
+class Reading:
+    """Words ``first`` to ``end`` of a run as another chain reads them; the classifier's log odds and the gain in likelihood."""
 
-    Words that look like UTF-8 with ``lost`` bytes are only read otherwise if words of the corpus come out.
-    """
+    first: int
+    end: int
+    chain: Chain
+    texts: list[str]
+    odds: float
+    gain: float
+
+
+def run_readings(model: Classifier, words: list[str], scores: np.ndarray) -> list[Reading]:
+    """Of consecutive words the part that each mistake between other encodings explains best, if it gains RUN_MARGIN."""
     odds = scores[:, _LOOSE] - scores[:, :1] - (model.prior[1] - model.prior[0])
-    hopeful = np.nonzero(np.maximum(odds, 0).sum(axis=0) > RUN_MARGIN)[0]
-    best = None
-    for k in hopeful.tolist():
-        gain, first, end = _best_part(odds[:, k])
-        if gain <= RUN_MARGIN or sum(c > "\x7f" for w in words[first:end] for c in w) < RUN_CHARS or best is not None and gain <= best[0] - RUN_MARGIN:
+    out = []
+    for k in np.nonzero(np.maximum(odds, 0).sum(axis=0) > RUN_MARGIN)[0].tolist():
+        total, first, end = _best_part(odds[:, k])
+        if total <= RUN_MARGIN or sum(c > "\x7f" for w in words[first:end] for c in w) < RUN_CHARS:
             continue
         chain = CHAINS[_LOOSE[k] - 1]
         try:
             texts = [restore(w, chain) for w in words[first:end]]
         except UnicodeError:
             continue
-        gained = float(_right(model, texts).sum() - (scores[first:end, 0] - model.prior[0]).sum())
+        gain = float(_right(model, texts).sum() - (scores[first:end, 0] - model.prior[0]).sum())
+        if gain > RUN_MARGIN:
+            out.append(Reading(first, end, chain, texts, total, gain))
+    return out
+
+
+def judge_run(readings: list[Reading], words: list[str], lost: list[bool], seen: Mapping[str, int]) -> tuple[int, int, list[Verdict]] | None:
+    """The reading of a run that gains most, unless words of the corpus, ``seen`` so often, speak against it.
+
+    Words that look like UTF-8 with ``lost`` bytes are only read otherwise if words of the corpus come out.
+    """
+    best = None
+    for r in readings:
+        if best is not None and r.odds <= best.gain - RUN_MARGIN:
+            continue
         # words of the corpus speak for the reading they are frequent in
         votes = 0
-        for w, t in zip(words[first:end], texts, strict=True):
-            a, b = model.seen[core(w)], model.seen[core(t)]
+        for w, t in zip(words[r.first : r.end], r.texts, strict=True):
+            a, b = seen.get(core(w), 0), seen.get(core(t), 0)
             votes += (b >= OFTEN * max(a, 1)) - (a >= OFTEN * max(b, 1))
-        if votes < 0 or votes == 0 and (gained <= UNSEEN_MARGIN or any(lost[first:end])):
+        if votes < 0 or votes == 0 and (r.gain <= UNSEEN_MARGIN or any(lost[r.first : r.end])):
             continue
-        if gained > RUN_MARGIN and (best is None or gained > best[0]):
-            best = gained, first, end, [Verdict(chain, t) for t in texts]
-    return best and best[1:]
+        if best is None or r.gain > best.gain:
+            best = r
+    return best and (best.first, best.end, [Verdict(best.chain, t) for t in best.texts])
 
 
 def cutter():
@@ -317,9 +341,10 @@ def cutter():
 
 @dataclass(frozen=True)
 class Inspected:
-    """Verdicts by (first, end) of the word in the text."""
+    """Verdicts by (first, end) of the word in the text; ``asked`` are the words, by their core, whose counts they depend on."""
 
     spans: list[tuple[int, int, Verdict]]
+    asked: frozenset[str] = frozenset()
 
     def restored(self, text: str) -> str:
         """The text with every restorable word put right."""
@@ -346,24 +371,28 @@ def pieces(text: str) -> list[tuple[int, str]]:
     return [*out, (at, text[at:])]
 
 
-def inspect(model: Classifier, texts: Iterable[str | None]) -> list[Inspected]:
-    """The garbled words of each text, whole; a null or empty text has none."""
+def inspect(model: Classifier, texts: Iterable[str | None], seen: Mapping[str, int] | None = None) -> list[Inspected]:
+    """The garbled words of each text, whole; a null or empty text has none. ``seen`` counts words by their core, else those
+    of the training do."""
     texts = list(texts)
+    seen = model.seen if seen is None else seen
     parts = [(i, at, p) for i, t in enumerate(texts) if t for at, p in pieces(t)]
     out: list[list[tuple[int, int, Verdict]]] = [[] for _ in texts]
+    asked: list[set[str]] = [set() for _ in texts]
     block, size = [], 0
     for part in [*parts, None]:
         if part is None or size + len(part[2]) > 4 * PIECE_CHARS:
-            for (i, at, _), spans in zip(block, _inspect(model, [p for _, _, p in block]), strict=True):
-                out[i] += [(at + lo, at + hi, v) for lo, hi, v in spans]
+            for (i, at, _), g in zip(block, _inspect(model, [p for _, _, p in block], seen), strict=True):
+                out[i] += [(at + lo, at + hi, v) for lo, hi, v in g.spans]
+                asked[i] |= g.asked
             block, size = [], 0
         if part:
             block.append(part)
             size += len(part[2])
-    return [Inspected(s) for s in out]
+    return [Inspected(s, frozenset(a)) for s, a in zip(out, asked, strict=True)]
 
 
-def _inspect(model: Classifier, texts: list[str]) -> list[list[tuple[int, int, Verdict]]]:
+def _inspect(model: Classifier, texts: list[str], seen: Mapping[str, int]) -> list[Inspected]:
     if not texts:
         return []
     word, between = cutter()
@@ -377,19 +406,23 @@ def _inspect(model: Classifier, texts: list[str]) -> list[list[tuple[int, int, V
     for t, f in zip(texts, found, strict=True):
         read = [(lo, hi, verdicts[index[w]]) for lo, hi, w in f if verdicts[index[w]]]
         spans = {lo: (lo, hi, v) for (lo, hi, _), v in zip(read, _agreed([r for _, _, r in read]), strict=True)}
+        asked: set[str] = set()
         if any(loose[index[w]] > 0 for _, _, w in f):
             run: list[tuple[int, int, str]] = []
             for item in [*f, None]:
                 if run and (item is None or between.search(t, run[-1][1], item[0])):
                     rows = [index[w] for _, _, w in run]
-                    got = judge_run(model, [w for _, _, w in run], scores[rows], [bool(verdicts[r]) for r in rows]) if any(loose[r] > 0 for r in rows) else None
+                    own = [w for _, _, w in run]
+                    readings = run_readings(model, own, scores[rows]) if any(loose[r] > 0 for r in rows) else []
+                    asked.update(core(w) for r in readings for w in (*own[r.first : r.end], *r.texts))
+                    got = judge_run(readings, own, [bool(verdicts[r]) for r in rows], seen)
                     if got:
                         spans |= {lo: (lo, hi, v) for (lo, hi, _), v in zip(run[got[0] : got[1]], got[2], strict=True)}
                     run = []
                 # a word that lost bytes of UTF-8 may turn out as one of another encoding
                 if item and all(v.text is None and v.chain != REPLACED for v in verdicts[index[item[2]]]):
                     run.append(item)
-        out.append([spans[lo] for lo in sorted(spans)])
+        out.append(Inspected([spans[lo] for lo in sorted(spans)], frozenset(asked)))
     return out
 
 
@@ -402,33 +435,64 @@ def training_words(documents: DataFrame, rows: int = TRAINING_ROWS) -> Counter:
     return Counter(w for r in chosen.limit(2 * rows).toLocalIterator() for w in word.findall(r["text"]))
 
 
+def corpus_words(documents: DataFrame, model) -> DataFrame:
+    """``core, seen``: how often each word beyond ASCII occurs in all documents, by its core; words that were UTF-8 once
+    don't count. ``model`` is a broadcast classifier."""
+    words = documents.select(F.explode(F.split("text", r"[ \t\r\n]+")).alias("word")).where("word RLIKE '[^\\\\x00-\\\\x7F]'")
+
+    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            keep = np.array([not v for v in judge_words(model.value, own)], bool)
+            yield pa.RecordBatch.from_arrays([pa.array([core(w) for w, k in zip(own, keep, strict=True) if k], pa.string()), batch.column(1).filter(pa.array(keep))], names=["core", "n"])
+
+    once = words.groupBy("word").agg(F.count("*").alias("n"))
+    return once.mapInArrow(right, "core string, n long").groupBy("core").agg(F.sum("n").alias("seen"))
+
+
 def find_garbled(documents: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
     """``doc_id, restored, words, lost, chains``: documents with garbled words, by the classifier.
 
     ``restored`` is the text with every invertible word put right, ``words`` how many are garbled,
     ``lost`` how many of them can't be had back, ``chains`` the mistakes as ``written>read``. Null, empty and
-    plain ASCII texts never appear; a row delivered twice appears twice.
+    plain ASCII texts never appear; a row delivered twice appears twice. Only the classifier rests on a sample: texts
+    whose verdict depends on words of the corpus are judged by their counts in all documents.
     """
     spark = documents.sparkSession
-    model = spark.sparkContext.broadcast(train(training_words(documents, training_rows)))
+    model = spark.sparkContext.broadcast(replace(train(training_words(documents, training_rows)), seen=Counter()))
+    names = ["doc_id", "restored", "words", "lost", "chains"]
+    schema = "doc_id long, restored string, words int, lost int, chains array<string>"
+
+    def columns(rows: list[tuple[int, str, Inspected]]) -> list[pa.Array]:
+        return [
+            pa.array([i for i, _, _ in rows], pa.int64()),
+            pa.array([g.restored(t) for _, t, g in rows], pa.string()),
+            pa.array([len(g.spans) for _, _, g in rows], pa.int32()),
+            pa.array([sum(v.text is None for _, _, v in g.spans) for _, _, g in rows], pa.int32()),
+            pa.array([sorted({", ".join(f"{a}>{b}" for a, b in v.chain) for _, _, v in g.spans}) for _, _, g in rows], pa.list_(pa.string())),
+        ]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                texts = part.column(1).to_pylist()
+                rows = [(i, t, g) for i, t, g in zip(part.column(0).to_pylist(), texts, inspect(model.value, texts), strict=True) if g.spans or g.asked]
+                open_ = [t if g.asked else None for _, t, g in rows]
+                yield pa.RecordBatch.from_arrays([*columns(rows), pa.array(open_, pa.string()), pa.array([sorted(g.asked) for _, _, g in rows], pa.list_(pa.string()))], names=[*names, "text", "asked"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "restored", "words", "lost", "chains"]
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 texts = part.column(1).to_pylist()
-                found = [(i, t, g) for i, t, g in zip(part.column(0).to_pylist(), texts, inspect(model.value, texts), strict=True) if g.spans]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([i for i, _, _ in found], pa.int64()),
-                        pa.array([g.restored(t) for _, t, g in found], pa.string()),
-                        pa.array([len(g.spans) for _, _, g in found], pa.int32()),
-                        pa.array([sum(v.text is None for _, _, v in g.spans) for _, _, g in found], pa.int32()),
-                        pa.array([sorted({", ".join(f"{a}>{b}" for a, b in v.chain) for _, _, v in g.spans}) for _, _, g in found], pa.list_(pa.string())),
-                    ],
-                    names=names,
-                )
+                seen = {w: n for m in part.column(2).to_pylist() for w, n in m or ()}
+                yield pa.RecordBatch.from_arrays(columns([(i, t, g) for i, t, g in zip(part.column(0).to_pylist(), texts, inspect(model.value, texts, seen), strict=True) if g.spans]), names=names)
 
     beyond_ascii = documents.where("text RLIKE '[^\\\\x00-\\\\x7F]'").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return beyond_ascii.mapInArrow(run, "doc_id long, restored string, words int, lost int, chains array<string>")
+    looked_at = materialise(beyond_ascii.mapInArrow(first, f"{schema}, text string, asked array<string>"), "garbled")
+    open_texts = looked_at.where("text IS NOT NULL").select("doc_id", "text", "asked", F.sha2("text", 256).alias("key"))
+    asked = open_texts.select("key", F.explode("asked").alias("core")).distinct()
+    counts = salted_join(asked, corpus_words(documents, model), ["core"], "key").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("core", "seen"))).alias("seen"))
+    decided = open_texts.join(counts, "key", "left").select("doc_id", "text", "seen").mapInArrow(second, schema)
+    return looked_at.where("text IS NULL").select(*names).unionByName(decided)

@@ -95,3 +95,15 @@ def test_table(spark, texts):
     assert got[900]["restored"] == "La caméra était là" and got[900]["words"] == 3 and got[900]["lost"] == 0
     assert None in got and 901 not in got and 902 not in got
     assert find_garbled(df.limit(0)).count() == 0
+
+
+def test_words_vote_by_all_documents_not_by_the_sample(spark, texts, monkeypatch):
+    """A short passage whose words the training sample lacks, but twenty documents of the corpus have."""
+    word = e.cutter()[0]
+    sample = Counter(w for t in texts for w in word.findall(t))
+    monkeypatch.setattr(e, "training_words", lambda *_: sample)
+    model, passage = train(sample), garble("гвоздь", (("koi8-r", "cp1251"),))
+    assert not model.seen["гвоздь"] and not inspect(model, [passage])[0].spans
+    rows = [(i, f"гвоздь {i}") for i in range(20)] + [(20, passage), (21, passage), (21, passage)]
+    got = find_garbled(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["restored"]) for r in got) == [(20, "гвоздь"), (21, "гвоздь"), (21, "гвоздь")]
