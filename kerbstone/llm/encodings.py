@@ -292,18 +292,39 @@ class Reading:
     gain: float
 
 
-def run_readings(model: Classifier, words: list[str], scores: np.ndarray) -> list[Reading]:
-    """Of consecutive words the part that each mistake between other encodings explains best, if it gains RUN_MARGIN."""
+def _restored(word: str, chain: Chain) -> str | None:
+    try:
+        return restore(word, chain)
+    except UnicodeError:
+        return None
+
+
+def run_readings(model: Classifier, words: list[str], scores: np.ndarray, pooled: bool = False) -> list[Reading]:
+    """Of consecutive words the part that each mistake between other encodings explains best, if it gains RUN_MARGIN.
+
+    ``pooled``: the words are those of a whole text; a word that the chain leaves as it is counts neither way, and one that
+    can't have come from it ends the part.
+    """
     odds = scores[:, _LOOSE] - scores[:, :1] - (model.prior[1] - model.prior[0])
     out = []
     for k in np.nonzero(np.maximum(odds, 0).sum(axis=0) > RUN_MARGIN)[0].tolist():
-        total, first, end = _best_part(odds[:, k])
+        chain = CHAINS[_LOOSE[k] - 1]
+        worth = odds[:, k]
+        if pooled:
+            worth = worth.astype(float)
+            up = np.nonzero(worth > 0)[0]
+            # most chains end here, before the other words are read
+            for at in (up, np.nonzero(worth <= 0)[0]):
+                for i in at.tolist():
+                    back = _restored(words[i], chain)
+                    worth[i] = -1e6 if back is None else 0.0 if back == words[i] else worth[i]
+                if np.maximum(worth[up], 0).sum() <= RUN_MARGIN:
+                    break
+        total, first, end = _best_part(worth)
         if total <= RUN_MARGIN or sum(c > "\x7f" for w in words[first:end] for c in w) < RUN_CHARS:
             continue
-        chain = CHAINS[_LOOSE[k] - 1]
-        try:
-            texts = [restore(w, chain) for w in words[first:end]]
-        except UnicodeError:
+        texts = [_restored(w, chain) for w in words[first:end]]
+        if None in texts:
             continue
         gain = float(_right(model, texts).sum() - (scores[first:end, 0] - model.prior[0]).sum())
         if gain > RUN_MARGIN:
@@ -408,20 +429,33 @@ def _inspect(model: Classifier, texts: list[str], seen: Mapping[str, int]) -> li
         spans = {lo: (lo, hi, v) for (lo, hi, _), v in zip(read, _agreed([r for _, _, r in read]), strict=True)}
         asked: set[str] = set()
         if any(loose[index[w]] > 0 for _, _, w in f):
+            # a word that lost bytes of UTF-8 may turn out as one of another encoding
+            free = [item for item in f if all(v.text is None and v.chain != REPLACED for v in verdicts[index[item[2]]])]
+
+            at = {lo for lo, _, _ in free}
+            read_as: set[int] = set()
+
+            def read_run(run: list[tuple[int, int, str]], pooled: bool, asked=asked, spans=spans, read_as=read_as) -> bool:
+                rows = [index[w] for _, _, w in run]
+                own = [w for _, _, w in run]
+                readings = run_readings(model, own, scores[rows], pooled) if any(loose[r] > 0 for r in rows) else []
+                asked.update(core(w) for r in readings for w in (*own[r.first : r.end], *r.texts))
+                got = judge_run(readings, own, [bool(verdicts[r]) for r in rows], seen)
+                if got:
+                    spans |= {lo: (lo, hi, v) for (lo, hi, w), v in zip(run[got[0] : got[1]], got[2], strict=True) if not pooled or v.text != w}
+                    read_as.update(lo for lo, _, _ in run[got[0] : got[1]])
+                return bool(got)
+
             run: list[tuple[int, int, str]] = []
             for item in [*f, None]:
                 if run and (item is None or between.search(t, run[-1][1], item[0])):
-                    rows = [index[w] for _, _, w in run]
-                    own = [w for _, _, w in run]
-                    readings = run_readings(model, own, scores[rows]) if any(loose[r] > 0 for r in rows) else []
-                    asked.update(core(w) for r in readings for w in (*own[r.first : r.end], *r.texts))
-                    got = judge_run(readings, own, [bool(verdicts[r]) for r in rows], seen)
-                    if got:
-                        spans |= {lo: (lo, hi, v) for (lo, hi, _), v in zip(run[got[0] : got[1]], got[2], strict=True)}
+                    read_run(run, False)
                     run = []
-                # a word that lost bytes of UTF-8 may turn out as one of another encoding
-                if item and all(v.text is None and v.chain != REPLACED for v in verdicts[index[item[2]]]):
+                if item and item[0] in at:
                     run.append(item)
+            # ASCII words, which a mistake leaves as they are, may stand between the words of a passage
+            while read_run([item for item in free if item[0] not in read_as], True):
+                pass
         out.append(Inspected([spans[lo] for lo in sorted(spans)], frozenset(asked)))
     return out
 

@@ -107,3 +107,15 @@ def test_words_vote_by_all_documents_not_by_the_sample(spark, texts, monkeypatch
     rows = [(i, f"гвоздь {i}") for i in range(20)] + [(20, passage), (21, passage), (21, passage)]
     got = find_garbled(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["restored"]) for r in got) == [(20, "гвоздь"), (21, "гвоздь"), (21, "гвоздь")]
+
+
+def test_words_of_a_passage_are_pooled_over_ascii_words(model):
+    """Latin script: one or two characters beyond ASCII a word, and plain words between them."""
+    text = "Die Straße ist für Fußgänger gesperrt, das Café gegenüber hat geöffnet und schließt später, die Brücke führt über Gleise"
+    for chain in ((("cp1252", "cp1251"),), (("cp1252", "mac-roman"),), (("cp1252", "cp437"),), (("cp437", "cp1252"),)):
+        (g,) = inspect(model, [garble(text, chain)])
+        assert {v.chain for _, _, v in g.spans} == {chain}
+        assert g.restored(garble(text, chain)) == text
+    mixed = garble(text, (("cp1252", "cp1251"),)) + "\n" + garble(text, (("cp1252", "cp437"),))
+    assert inspect(model, [mixed])[0].restored(mixed) == f"{text}\n{text}"
+    assert not inspect(model, [text])[0].spans
