@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbstone.functions.vectors import dot, unit
+from kerbstone.runtime import global_number, materialise
 
 #: Bytes of query vectors that are shipped to every task; a larger query set is searched block by block.
 BLOCK_BYTES = 64 << 20
@@ -152,14 +153,18 @@ def random_negatives(queries: DataFrame, size: int, positives: DataFrame, n: int
     return _repeat_to(drawn.select("q", F.col("k").cast("long").alias("k"), "d"), n)
 
 
-def grouped_negatives(queries: DataFrame, database: DataFrame, positives: DataFrame, n: int, depth: int = 256) -> DataFrame:
-    """``q, slot, d`` with negatives of the query's own group (id, v, group) only. A group is searched on its own."""
+def grouped_negatives(queries: DataFrame, database: DataFrame, positives: DataFrame, n: int, depth: int = 256, seed: int = 0, exclusions: DataFrame | None = None) -> DataFrame:
+    """``q, slot, d`` with negatives of the query's own group (id, v, group) only: hard_negatives of each group on its own,
+    over the group's own ids numbered from 0."""
     names = [r["group"] for r in queries.select("group").distinct().collect()]  # cameras: a handful
     out = None
     for name in names:
         own = lambda df, name=name: df.where(F.col("group").eqNullSafe(F.lit(name))).drop("group")
-        nearest = top_k(own(queries), own(database), depth).join(positives, ["q", "d"], "left_anti")
-        part = _repeat_to(nearest.select("q", F.col("rank").cast("long").alias("k"), "d"), n)
+        numbered = materialise(global_number(own(database).where("id IS NOT NULL AND v IS NOT NULL"), [], ["id"], "local"), "group")
+        ids = numbered.select("local", F.col("id").alias("d"))
+        inside = lambda pairs, ids=ids: pairs.join(ids, "d").select("q", F.col("local").alias("d"))
+        mined = hard_negatives(own(queries), numbered.select(F.col("local").alias("id"), "v"), inside(positives), n, depth, seed, None if exclusions is None else inside(exclusions))
+        part = mined.withColumnRenamed("d", "local").join(ids, "local").select("q", "slot", "d")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else positives.select("q", F.lit(0).alias("slot"), "d").where(F.lit(False))
 
