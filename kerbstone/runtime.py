@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor reaches, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder of this machine is
-    used, once per session.
+    Only in local mode (tests, a laptop) may that setting be absent; a temporary folder of this machine is
+    used then, once per session.
     """
     conf = spark.sparkContext.getConf()
     named = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that every executor reaches")
     own = getattr(spark, "_kerbstone_shared", None)
     if own is None:
         folder = tempfile.mkdtemp(prefix="kerbstone-")
@@ -36,16 +39,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/kerbstone/{label}-{uuid.uuid4().hex}"
+    """A new path in this session's part of the shared folder, which goes when the session's program ends."""
+    run = getattr(spark, "_kerbstone_run", None)
+    if run is None:
+        run = f"{shared_dir(spark)}/kerbstone/{uuid.uuid4().hex}"
+        spark._kerbstone_run = run
+        fs, p = filesystem(spark, run)
+        atexit.register(_delete, fs, p)
+    return f"{run}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(fs, path) -> None:
+    with contextlib.suppress(Exception):
+        fs.delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: a lineage cut that
-    survives the loss of executors and, unlike ``checkpoint()``, keeps columns compressed."""
+    survives the loss of executors and, unlike ``checkpoint()``, keeps columns compressed. ``drop`` deletes it
+    before the program ends."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._kerbstone_path = path
+    return got
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table of a ``materialise`` that nothing reads any more."""
+    discard(df.sparkSession, df._kerbstone_path)
 
 
 def filesystem(spark: SparkSession, path: str):
@@ -76,10 +99,11 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def side_by_side(*rows: DataFrame) -> DataFrame:
-    """One row of the columns of several single-row results."""
-    out = rows[0].withColumn("_one", F.lit(1))
-    for r in rows[1:]:
-        out = out.join(r.withColumn("_one", F.lit(1)), "_one")
+    """One row of the columns of several aggregates over everything, which have exactly one row each."""
+    single = [r.agg(*[F.any_value(c).alias(c) for c in r.columns], F.assert_true(F.count("*") == 1, F.lit("more than one row")).alias("_one")).withColumn("_one", F.lit(1)) for r in rows]
+    out = single[0]
+    for r in single[1:]:
+        out = out.join(r, "_one")
     return out.drop("_one")
 
 
