@@ -1,7 +1,12 @@
 from __future__ import annotations
 
 import json
+import random
 
+import numpy as np
+import pyarrow as pa
+
+from kerbstone.functions import jsontree
 from kerbstone.operators.nested import annotation_children, shred, tables
 
 
@@ -74,10 +79,12 @@ def test_links_of_tables_and_round_trip(spark):
     text = '{"a": [{"b": 1, "c": [true, null]}, {"b": "x"}], "d": {}}'
     values = shred(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t")
     got = tables(values)
-    assert {p: sorted((r["dewey"], r["parent"], r["value"]) for r in t.collect()) for p, t in got.items() if p in ("$.a[].b", "$.a[].c[]")} == {
+    assert {p: sorted((r["dewey"], r["parent"], r["value"]) for r in got.table(p).collect()) for p in ("$.a[].b", "$.a[].c[]", "$.z")} == {
         "$.a[].b": [("0.0.0", "0.0", "1"), ("0.1.0", "0.1", "x")],
         "$.a[].c[]": [("0.0.1.0", "0.0.1", "true"), ("0.0.1.1", "0.0.1", None)],
+        "$.z": [],
     }
+    assert {r["schema_path"]: r["rows"] for r in got.paths().collect()} == {"$": 1, "$.a": 1, "$.a[]": 2, "$.a[].b": 2, "$.a[].c": 1, "$.a[].c[]": 2, "$.d": 1}
     rows = {r["dewey"]: r for r in values.collect()}
 
     def build(dewey):
@@ -95,3 +102,69 @@ def test_links_of_tables_and_round_trip(spark):
 def test_on_the_tables(spark, small):
     rows = [(r["file_id"], r["content"]) for r in spark.read.parquet(f"{small}/annotation_files.parquet").collect()]
     assert found(spark, rows) == brute(rows)
+
+
+def test_names_that_look_like_paths(spark):
+    text = '{"nodes[]":{"id":1},"a.b":2,"a":{"b":3},"x\\\\":{"":0},"\\u0000number":"1e500","n":1e500}'
+    got = {(r["dewey"], r["schema_path"], r["value"]) for r in shred(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").where("value IS NOT NULL").collect()}
+    assert got == {("0.0", "$.nodes\\[\\].id", "1"), ("1", "$.a\\.b", "2"), ("2.0", "$.a.b", "3"), ("3.0", "$.x\\\\.", "0"), ("4", "$.\0number", "1e500"), ("5", "$.n", "1e500")}
+    assert found(spark, [(1, text)]) == set()
+
+
+def test_any_depth(spark):
+    deep = "[" * 50_000 + "1" + "]" * 50_000
+    rows = [(1, '{"nodes": [{"id": 1, "data": {"bbox": [0, 0, 1, 1], "more": ' + deep + '}}], "links": [{"source": 1, "target": 1}], "z": ' + '{"nodes":' * 50_000 + "0" + "}" * 50_000 + "}"), (2, deep), (3, deep[:-1])]
+    assert found(spark, rows) == {(1, "node", 0, -1, -1), (1, "node_box", 0, -1, -1), (1, "link", 0, 0, 0)}
+    chain = spark.createDataFrame([(1, "[" * 2_000 + "7" + "]" * 2_000)], "id long, t string")
+    bottom = shred(chain, "id", "t").where("value IS NOT NULL").first()
+    assert (bottom["value"], bottom["dewey"], bottom["schema_path"]) == ("7", ".".join(["0"] * 2_000), "$" + "[]" * 2_000)
+
+
+def test_one_id_with_several_contents(spark):
+    rows = [(1, '{"nodes": [{}, {}]}'), (1, '{"nodes": [{}]}'), (1, None), (1, '{"nodes": [{}, {}]}')]
+    assert len(found(spark, rows)) in (1, 2)
+    assert found(spark, rows) == found(spark, rows[::-1])
+
+
+def trees(f):
+    """Python values of a forest."""
+    out, values = {}, []
+    for i, (kind, parent, spelled) in enumerate(zip(f.kind, f.parent, f.spelled(np.arange(len(f))).to_pylist() if len(f) else [], strict=True)):
+        v = {} if kind == jsontree.OBJECT else [] if kind == jsontree.ARRAY else spelled if kind == jsontree.STRING else json.loads(spelled)
+        values.append(v)
+        if parent < 0:
+            out[int(f.text[i])] = v
+        elif f.kind[parent] == jsontree.OBJECT:
+            values[parent][f.names[f.name[i]]] = v
+        else:
+            assert len(values[parent]) == f.ordinal[i]
+            values[parent].append(v)
+    return out
+
+
+def test_forest_against_the_parser_of_python():
+    r = random.Random(7)
+
+    def value(depth=0):
+        x = r.random()
+        if depth < 5 and x < 0.3:
+            return [value(depth + 1) for _ in range(r.randint(0, 4))]
+        if depth < 5 and x < 0.6:
+            return {r.choice(["a", "b", "nodes[]", 'x"y', "\\q", "é", ""]): value(depth + 1) for _ in range(r.randint(0, 4))}
+        return r.choice([1, -2.5, 1e300, "", "s", 'q"u', "b\\", "\né", '\\"', True, False, None, "[{,:}]"])
+
+    texts = []
+    for _ in range(700):
+        t = json.dumps(value(), ensure_ascii=r.random() < 0.5, indent=r.choice([None, 1]))
+        at = r.randrange(len(t))
+        texts += [t, t[:at], t[:at] + r.choice(["", t[at] * 2, '"', ",", "\\", "}", "]", ":", "1", " ", "\t", '"a"', "\x01"]) + t[at + 1 :]]
+    texts += [None, "", " ", "1 2", '"a" "b"', '{"a":1,"a":{"a":[1]},"a":2}', '{"a":[1],"\\u0061":3}', "[1,]", '{"a"}', '{"a":"b":1}', "{,}", "[}", "{]", "01", "-", "1.", "+1", "1e5", '"\\u12"', '"\\u12G4"', '"\\x"', "NaN", '\\"', "[1]]", "[[1]", "]", '"abc']
+    f = jsontree.parse(pa.array(texts, pa.string()))
+    got = trees(f)
+    for i, t in enumerate(texts):
+        try:
+            want = json.loads(t, parse_constant=lambda _: 1 / 0)
+        except (ValueError, TypeError, ZeroDivisionError):
+            assert not f.valid[i] and i not in got
+        else:
+            assert f.valid[i] and json.dumps(got[i]) == json.dumps(want), t
