@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbstone.operators.compaction import compact
-from kerbstone.operators.nested import annotation_children, distinct_records, parent, shred
+from kerbstone.operators.nested import annotation_children, distinct_records, shred, tables
 from kerbstone.operators.spatial import containing_regions, located, near_samples
 from kerbstone.runtime import materialise, scratch_path, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Surplus copies, as the committed manifest of the compaction has them."""
+    """Surplus copies, as the committed manifest of the compaction has them: ids that no bin holds, by the keeper that one does."""
     done = compact(spark, table(spark, sf_dir, "annotation_files"), scratch_path(spark, "compacted"))
-    return done.manifest(spark).where("keeper < file_id").select(F.col("keeper").alias("file_a"), F.col("file_id").alias("file_b"))
+    return done.manifest(spark).where("bin IS NULL AND keeper < file_id").select(F.col("keeper").alias("file_a"), F.col("file_id").alias("file_b"))
 
 
 def p1_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +44,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every scalar of every annotation with its schema path, label and parent label."""
+    """Every scalar of every annotation with its label and parent label, from the tables by schema path."""
     files = distinct_records(table(spark, sf_dir, "annotation_files"), "file_id", "content")
-    values = shred(files, "file_id", "content").where("kind NOT IN ('object', 'array')")
-    return values.select(F.col("record_id").alias("file_id"), "dewey", parent(F.col("dewey")).alias("parent"), "schema_path", "kind", "value")
+    values = tables(shred(files, "file_id", "content")).all().where("kind NOT IN ('object', 'array')")
+    return values.select(F.col("record_id").alias("file_id"), "dewey", "parent", "schema_path", "kind", F.when(F.col("kind") != "number", F.col("value")).alias("value"), "number")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_bins, p2_found, p2_regions, p5_found, p5_attributes)}
@@ -78,6 +78,16 @@ UNION ALL SELECT file_id, 'node_box', pos, -1, -1 FROM n WHERE {_NUMBERS.format(
 UNION ALL SELECT file_id, 'detection', pos, -1, -1 FROM t
 UNION ALL SELECT file_id, 'detection_box', pos, -1, -1 FROM t WHERE {_NUMBERS.format('box')}
 UNION ALL SELECT k.file_id, 'link', k.pos, coalesce(a.pos, -1), coalesce(b.pos, -1) FROM k LEFT JOIN ids a ON a.file_id = k.file_id AND a.id = k.source LEFT JOIN ids b ON b.file_id = k.file_id AND b.id = k.target""",
+    "p5_attributes": """
+WITH RECURSIVE f AS (SELECT DISTINCT ON (file_id) file_id, CAST(content AS JSON) AS doc FROM annotation_files WHERE json_valid(content) ORDER BY file_id, content DESC),
+t AS (SELECT file_id, e.id, e.parent, e.type, e.fullkey, e.atom FROM f, json_tree(doc) e),
+o AS (SELECT *, row_number() OVER (PARTITION BY file_id, parent ORDER BY id) - 1 AS ordinal FROM t),
+d AS (SELECT file_id, id, type, fullkey, atom, '' AS dewey, '' AS above FROM o WHERE parent IS NULL
+  UNION ALL SELECT o.file_id, o.id, o.type, o.fullkey, o.atom, CASE WHEN d.dewey = '' THEN '' ELSE d.dewey || '.' END || o.ordinal, d.dewey FROM o JOIN d ON o.file_id = d.file_id AND o.parent = d.id)
+SELECT file_id, dewey, above AS parent, regexp_replace(replace(fullkey, '"', ''), '\\[[0-9]+\\]', '[]', 'g') AS schema_path,
+  CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind,
+  CASE WHEN type IN ('VARCHAR', 'BOOLEAN') THEN atom->>'$' END AS value, CASE WHEN type IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN CAST(atom->>'$' AS DOUBLE) END AS number
+FROM d WHERE type NOT IN ('OBJECT', 'ARRAY')""",
     "p2_regions": """
 WITH l AS (SELECT DISTINCT ON (sample_id) sample_id, sequence, ts, easting AS x, northing AS y FROM tracks WHERE northing IS NOT NULL AND easting IS NOT NULL AND NOT isnan(northing) AND NOT isnan(easting) AND NOT (northing = 0 AND easting = 0)),
 r AS (SELECT sequence, min({'ts': ts, 'id': sample_id, 'x': x, 'y': y}) AS s FROM l GROUP BY sequence)

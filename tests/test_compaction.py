@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 import numpy as np
 import pytest
@@ -81,9 +80,18 @@ def test_copies_and_content(spark, tmp_path):
     assert sorted(r["file_id"] for r in data) == sorted(set(range(1, 18)) - {2, 13, 17})
     assert {r["file_id"] for r in data if r["bin"].startswith("apart")} == {6, 7, 8, 14, 15}
     assert {r["file_id"]: r["content"] for r in data}[3] == ROWS[2][3]
-    for b in os.listdir(tmp_path / "out/data"):
-        if b.startswith("bin="):
-            assert len([f for f in os.listdir(tmp_path / "out/data" / b) if f.endswith(".parquet")]) == 1
+    assert compaction.published(spark, f"file://{tmp_path}/out") == done
+    bins = sorted((tmp_path / "out").glob("run-*/data/shard=*/bin=*"))
+    assert len(bins) == done.report["bins"] and all(len(list(b.glob("*.parquet"))) == 1 for b in bins)
+
+
+def test_shards_are_spark_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(compaction, "SHARD_FILES", 3)
+    monkeypatch.setattr(compaction.pack, "__defaults__", (compaction.TARGET_BYTES, 3))
+    done = compact(spark, make(spark, ROWS), f"file://{tmp_path}/many")
+    bins = sorted((tmp_path / "many").glob("run-*/data/shard=*/bin=*"))
+    assert len(bins) == done.report["bins"] > 4 and all(len(list(b.glob("*.parquet"))) == 1 for b in bins)
+    assert sorted(r["file_id"] for r in done.data(spark).collect()) == sorted(set(range(1, 18)) - {2, 13, 17})
 
 
 def test_empty_table(spark, tmp_path):
@@ -103,7 +111,7 @@ def test_nothing_is_published_on_a_mismatch(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(compaction, "_sums", wrong)
     with pytest.raises(compaction.CompactionError):
         compact(spark, make(spark, ROWS), f"file://{tmp_path}/bad")
-    assert not (tmp_path / "bad").exists()
+    assert compaction.published(spark, f"file://{tmp_path}/bad") is None and not list((tmp_path / "bad").glob("run-*"))
 
 
 def test_destination_is_not_overwritten(spark, tmp_path):
@@ -140,7 +148,8 @@ def test_digest_of_numbers():
     d = jsonvalue.digest
     assert d("1") == d("1.0") == d("10e-1") == d("1.00000000000000000000")
     assert d("0") == d("-0") == d("0.0e7")
-    assert len({d(x) for x in ("1", '"1"', "true", "[1]", "1e400", "1e500", "0.1", "0.10000000000000000001", "-1")}) == 9
+    assert len({d(x) for x in ("1", '"1"', "true", "[1]", "1e400", "1e500", "0.1", "0.10000000000000000001", "-1", '{"\\u0000number":"1e500"}', '["1e500"]')}) == 11
+    assert d("1e99999999999999999999") == d("10e99999999999999999998") != d("1e99999999999999999998")
     assert d("9" * 5000) == d("9" * 5000 + ".0") != d("9" * 4999 + "8")
 
 
@@ -149,3 +158,23 @@ def test_p1_on_the_tables(spark, small):
     got = [(r["file_a"], r["file_b"]) for r in p1_found(spark, small).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute(rows)
+
+
+def test_digest_of_any_depth():
+    deep = lambda x, n=50_000: "[ " * n + x + "]" * n
+    assert jsonvalue.digest(deep("1.0")) == jsonvalue.digest(deep("1").replace(" ", "")) != jsonvalue.digest(deep("2"))
+    with pytest.raises(ValueError):
+        jsonvalue.digest(deep("1")[:-1])
+
+
+def test_one_canonical_form(monkeypatch):
+    value = json.loads('{"b":[1,{"x":null,"a":[]}],"a":"q\\u00e9","c":{}}')
+    want, real = jsonvalue.canonical(value), json.dumps
+
+    def shallow(x, **options):
+        if options:
+            raise RecursionError
+        return real(x)
+
+    monkeypatch.setattr(json, "dumps", shallow)
+    assert jsonvalue.canonical(value) == want
