@@ -94,6 +94,31 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: str,
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+#: Rows of one key from which its joins are spread over several tasks, and the share of all rows (one in so many).
+HOT_ROWS, HOT_SHARE = 20_000, 2_000
+
+
+def hot_limit(rows: int) -> int:
+    """Rows from which a key counts as hot; at most HOT_SHARE keys can have more."""
+    return max(HOT_ROWS, rows // HOT_SHARE)
+
+
+def skewed_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """Equi join on one column in which a key may be frequent on both sides.
+
+    ``hot`` has a row (key, left_cells, right_cells) for each frequent key, a few thousand by ``hot_limit``, so it is broadcast. The
+    rows of such a key form a grid of that many cells by hash; a row goes to all cells of its row or column of the grid,
+    so that each pair meets in one cell.
+    """
+    cells = lambda c: F.coalesce(c, F.lit(1))
+    pick = lambda df, n: F.pmod(F.xxhash64(*df.columns), cells(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), cells(n).cast("int") - 1)
+    keys = F.broadcast(hot.select(key, F.col("left_cells").alias("_lc"), F.col("right_cells").alias("_rc")))
+    a = left.join(keys, key, "left").withColumn("_l", pick(left, F.col("_lc"))).withColumn("_r", F.explode(every(F.col("_rc")))).drop("_lc", "_rc")
+    b = right.join(keys, key, "left").withColumn("_r", pick(right, F.col("_rc"))).withColumn("_l", F.explode(every(F.col("_lc")))).drop("_lc", "_rc")
+    return a.join(b, [key, "_l", "_r"], how).drop("_l", "_r")
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
