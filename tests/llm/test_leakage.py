@@ -4,12 +4,16 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kerbstone.llm import leakage
-from kerbstone.llm.leakage import edits_within, overlaps, report, shingles, similar
+from kerbstone import runtime
+from kerbstone.llm.leakage import edits_within, overlaps, similarities, sketches
 
 
 def distance(a, b):
@@ -51,7 +55,7 @@ SCHEMA = "record_id long, split_part string, source string, file_path string, co
 
 
 def found(spark, rows):
-    got = overlaps(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).collect()
+    got = overlaps(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).pairs().collect()
     pairs = [(r["train_id"], r["eval_id"]) for r in got]
     assert len(pairs) == len(set(pairs))
     return set(pairs), got
@@ -76,23 +80,41 @@ def edited(r, w, n):
     return w
 
 
-def test_the_similarity_bound_of_the_sketch_holds():
+def shingles(w):
+    return Counter(zip(w, w[1:], strict=False))
+
+
+def test_similarity_and_the_bound_of_the_sketch():
     r = random.Random(8)
-    low = 1.0
+    pairs = []
     for _ in range(3000):
         n = r.randrange(8, 60)
         a = [r.choice("abcdefgh" if r.random() < 0.3 else [f"w{i}" for i in range(400)]) for _ in range(n)]
-        b = edited(r, a, r.randrange(n // 10 + 1))
-        s = similar(" ".join(a), " ".join(b))
-        if s is None:
-            longer = max(n, len(b))
-            assert distance(a, b) * 10 > longer
+        pairs.append((a, edited(r, a, r.randrange(n // 10 + 2))))
+    got = similarities(*(pa.array([" ".join(p[i]) for p in pairs]) for i in (0, 1)))
+    low = 1.0
+    for (a, b), s in zip(pairs, got.tolist(), strict=True):
+        if distance(a, b) * 10 > max(len(a), len(b)):
+            assert s != s
             continue
-        x, y = shingles(" ".join(a)), shingles(" ".join(b))
+        x, y = shingles(a), shingles(b)
         assert s == (x & y).total() / (x | y).total()
         low = min(low, s)
     assert low >= 0.6
-    assert (1 - 0.6**leakage.ROWS) ** leakage.BANDS < 2e-4
+    assert (1 - 0.6**leakage.ROWS) ** leakage.BANDS < 6e-5
+
+
+def test_bands_agree_as_often_as_shingles():
+    r = random.Random(5)
+    base = [[f"w{r.randrange(10**6)}" for _ in range(40)] for _ in range(400)]
+    other = [edited(r, w, 4) for w in base]
+    a, b = (sketches(pa.array([" ".join(w) for w in side])) for side in (base, other))
+    s = np.mean([(shingles(x) & shingles(y)).total() / (shingles(x) | shingles(y)).total() for x, y in zip(base, other, strict=True)])
+    assert abs((a == b).mean() - s**leakage.ROWS) < 0.05
+    assert (a[1:] == b[:-1]).mean() < 0.001
+    assert len(sketches(pa.array([], pa.string()))) == 0
+    twice = sketches(pa.array(["a b a b a b a b a b", "a b a b a b a b a b c"]))
+    assert (sketches(pa.array(["a b a b a b a b a b"])) == twice[:1]).all() and (twice[0] != twice[1]).any()
 
 
 def test_random_records(spark):
@@ -130,7 +152,23 @@ def test_on_the_tables(spark, small):
     rows = [(r["record_id"], r["split_part"], r["source"], r["file_path"], r["content"]) for r in spark.read.parquet(f"{small}/split_records.parquet").collect()]
     got, _ = found(spark, rows)
     assert got == brute(rows)
-    total = report(spark.read.parquet(f"{small}/split_records.parquet")).collect()
+    total = overlaps(spark.read.parquet(f"{small}/split_records.parquet")).report().collect()
     assert sum(r["pairs"] for r in total) == len(got)
     with pytest.raises(Exception, match="record_id"):
-        overlaps(spark.range(1)).count()
+        overlaps(spark.range(1))
+
+
+def test_copies_are_spread_and_never_paired_by_the_report(spark, monkeypatch):
+    text = "one two three four five six seven eight nine"
+    rows = [(i, "train" if i % 2 else "test", "s", f"p/q/{i % 7}", text + " ten" * (i % 3 == 0)) for i in range(600)]
+    want = brute(rows)
+    monkeypatch.setattr(runtime, "HOT_ROWS", 40)
+    frame_ = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    got = overlaps(frame_)
+    assert {(r["train_id"], r["eval_id"]) for r in got.pairs().collect()} == want and got.pairs().count() == len(want) == 300 * 300
+    many = overlaps(frame_.withColumn("record_id", F.col("record_id") + 600).unionByName(frame_).unionByName(frame_.withColumn("record_id", F.col("record_id") + 1200)))
+    one = many.report()
+    assert one.first()["pairs"] == 900 * 900 and one.first()["records"] == 900 and one.first()["similar_content"] == 900 * 900
+    assert one.first()["same_frame"] == 9 * sum(frame(a[3]) == frame(b[3]) for a in rows for b in rows if a[1] == "train" and b[1] == "test")
+    produced = one._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in produced and "BroadcastNestedLoopJoin" not in produced
