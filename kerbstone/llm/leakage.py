@@ -26,8 +26,9 @@ LEAST_WORDS, EDITS = 8, 0.1
 #: Words of a shingle. An edit touches two of these, so two contents of n words within n/10 edits have
 #: a similarity of 0.63 at least; five words would leave next to nothing.
 SHINGLE = 2
-#: Bands and rows of the sketch: a pair at 0.63 is missed with a chance of 8 in a million.
-BANDS, ROWS = 40, 3
+#: Bands and rows of the sketch: a pair at 7/11, the least there is, is missed with a chance of 1 in 100,000. Fewer rows would leave more
+#: candidates than bands save.
+BANDS, ROWS = 64, 4
 #: Classes, about, whose bands tell which are frequent; they only steer how the join is spread.
 SAMPLE_CLASSES = 20_000
 

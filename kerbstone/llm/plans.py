@@ -87,13 +87,13 @@ k AS (SELECT *, CASE WHEN len(seg) >= 2 THEN seg[-2] || '/' || regexp_replace(se
 c AS (SELECT t.record_id AS train_id, e.record_id AS eval_id, e.part AS split_part, e.source, coalesce(t.frame = e.frame, false) AS same_frame, t.w AS a, e.w AS b,
     len(t.w) >= 8 AND len(e.w) >= 8 AND abs(len(t.w) - len(e.w)) * 10 <= greatest(len(t.w), len(e.w)) AS near FROM k t JOIN k e ON t.part = 'train' AND e.part IN ('validation', 'test')),
 d AS (SELECT *, CASE WHEN near THEN list_distinct(list_concat(a, b)) END AS names FROM c WHERE near OR same_frame),
-o AS (SELECT *, CASE WHEN near THEN levenshtein(array_to_string(list_transform(a, lambda x: chr(CAST(list_position(names, x) AS INT))), ''), array_to_string(list_transform(b, lambda x: chr(CAST(list_position(names, x) AS INT))), '')) * 10 <= greatest(len(a), len(b)) ELSE false END AS similar FROM d)
+o AS (SELECT *, CASE WHEN near THEN levenshtein(array_to_string(list_transform(a, lambda x: chr(CAST(list_position(names, x) AS INT))), ''), array_to_string(list_transform(b, lambda x: chr(CAST(list_position(names, x) AS INT))), '')) * 10 <= greatest(len(a), len(b)) ELSE false END AS alike FROM d)
 """
 
 SQL = {
-    "p3_found": _OVERLAPS + "SELECT least(train_id, eval_id) AS record_a, greatest(train_id, eval_id) AS record_b FROM o WHERE same_frame OR similar",
-    "p3_report": _OVERLAPS + """SELECT split_part, source, count(*) AS pairs, count(DISTINCT eval_id) AS records, CAST(count_if(same_frame) AS BIGINT) AS same_frame, CAST(count_if(similar) AS BIGINT) AS similar_content
-FROM o WHERE same_frame OR similar GROUP BY split_part, source""",
+    "p3_found": _OVERLAPS + "SELECT least(train_id, eval_id) AS record_a, greatest(train_id, eval_id) AS record_b FROM o WHERE same_frame OR alike",
+    "p3_report": _OVERLAPS + """SELECT split_part, source, count(*) AS pairs, count(DISTINCT eval_id) AS records, CAST(count_if(same_frame) AS BIGINT) AS same_frame, CAST(count_if(alike) AS BIGINT) AS similar_content
+FROM o WHERE same_frame OR alike GROUP BY split_part, source""",
     "p4_found": """
 WITH RECURSIVE r AS (
   SELECT record_id, max(CASE WHEN lower(trim(drive_id)) NOT IN ('', 'unknown', 'n/a', '-') THEN lower(trim(drive_id)) END) AS d,
