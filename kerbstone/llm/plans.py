@@ -12,7 +12,7 @@ from kerbstone.llm.mixing import Mix, mix
 from kerbstone.llm.nearest_time import frames_to_samples
 from kerbstone.llm.splits import assign_parts, related
 from kerbstone.llm.tokens import encode_corpus
-from kerbstone.runtime import table
+from kerbstone.runtime import materialise, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,14 @@ def p4_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_parts(table(spark, sf_dir, "split_records").select("record_id", "drive_id", "place_id", "source"))
 
 
+def p4_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each part, and how many of its groups are in another part as well."""
+    assigned = materialise(p4_parts(spark, sf_dir), "assigned")
+    groups = assigned.groupBy("group_id", "part").agg(F.count("*").alias("n"))
+    torn = groups.groupBy("group_id").agg(F.count("*").alias("parts")).where("parts > 1").withColumn("torn", F.lit(1))
+    return groups.join(torn, "group_id", "left").groupBy("part").agg(F.sum("n").alias("records"), F.count("torn").alias("torn_groups"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return misread_signs(table(spark, sf_dir, "frame_texts").select("ann_id", "detections"), table(spark, sf_dir, "sign_lexicon"))
 
@@ -78,7 +86,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _garbled(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_parts, p6_found, p6_forms, p7_found, p8_ids, p9_chosen, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_parts, p4_quotas, p6_found, p6_forms, p7_found, p8_ids, p9_chosen, p9_shares, p10_found, p10_restored)}
 
 _OVERLAPS = r"""
 WITH r AS (SELECT DISTINCT ON (record_id) record_id, lower(trim(split_part)) AS part, source, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w,
@@ -106,6 +114,10 @@ roots AS (SELECT node, min(low) AS root FROM c GROUP BY node),
 g AS (SELECT record_id, coalesce(root, CASE WHEN has_d THEN d WHEN has_p THEN p ELSE record_id END) AS group_id
   FROM k LEFT JOIN roots ON node = CASE WHEN has_d THEN d WHEN has_p THEN p END)
 SELECT record_id, group_id FROM g QUALIFY count(*) OVER (PARTITION BY group_id) > 1""",
+    "p4_quotas": """
+WITH n AS (SELECT count(DISTINCT record_id) AS n FROM split_records), q AS (SELECT part, share * n AS quota, n FROM n, (VALUES ('train', 0.7::DOUBLE), ('validation', 0.1), ('test', 0.2)) v(part, share)),
+f AS (SELECT *, floor(quota + 1e-9) AS whole, row_number() OVER (ORDER BY floor(quota + 1e-9) - quota) AS k FROM q)
+SELECT part, CAST(whole AS BIGINT) + CASE WHEN k <= max(n) OVER () - sum(whole) OVER () THEN 1 ELSE 0 END AS records, 0 AS torn_groups FROM f""",
     "p7_found": """
 WITH f AS (
   SELECT sequence, idx, max(CASE WHEN adapter = 'drive' THEN 1000 ELSE 1 END * coalesce(ts, TRY_CAST(split_part(stem, '_', -1) AS BIGINT))) AS ts

@@ -4,22 +4,23 @@ import os
 
 import pytest
 
-from kerbstone.llm.mixing import mix, prefix_sums
+from kerbstone.llm import mixing
+from kerbstone.llm.mixing import hash_key, mix, prefix_sums
 from kerbstone.llm.tokens import VOCABULARY, Encoder, model_bytes
 
 needs = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
 
 
-def test_prefix_sums(spark):
+def test_prefix_sums(spark, monkeypatch):
     from pyspark.sql import functions as F
 
-    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "big").otherwise("small").alias("g"), F.xxhash64("id").alias("key"), (F.col("id") % 7).alias("n"))
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 200)
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "big").otherwise("small").alias("g"), hash_key(1, F.col("id")).alias("key"), (F.col("id") % 7).alias("n"))
     rows = rows.unionByName(rows.limit(5).withColumn("id", F.col("id") + 5000))  # equal keys
-    got = {r["id"]: r["before"] for r in prefix_sums(rows, "g", "key", "id", "n", bits=4).collect()}
-    unsigned = lambda k: k % 2**64
+    got = {r["id"]: r["before"] for r in prefix_sums(rows, "g", "key", "id", "n").collect()}
     for g in ("big", "small"):
         total = 0
-        for r in sorted((r for r in rows.collect() if r["g"] == g), key=lambda r: (unsigned(r["key"]) >> 60, r["key"], r["id"])):
+        for r in sorted((r for r in rows.collect() if r["g"] == g), key=lambda r: (r["key"], r["id"])):
             assert got[r["id"]] == total
             total += r["n"]
 
