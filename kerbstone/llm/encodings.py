@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -156,6 +157,7 @@ class Classifier:
         return out
 
 
+@lru_cache(maxsize=1 << 18)
 def core(word: str) -> str:
     """A word in small letters without what is no letter or digit at its ends."""
     w = word.lower()
@@ -292,9 +294,11 @@ class Reading:
     gain: float
 
 
-def _restored(word: str, chain: Chain) -> str | None:
+@lru_cache(maxsize=1 << 18)
+def _restored(word: str, k: int) -> str | None:
+    """The word before the k-th chain, None where that can't be; texts share most of their words."""
     try:
-        return restore(word, chain)
+        return restore(word, CHAINS[k])
     except UnicodeError:
         return None
 
@@ -308,7 +312,7 @@ def run_readings(model: Classifier, words: list[str], scores: np.ndarray, pooled
     odds = scores[:, _LOOSE] - scores[:, :1] - (model.prior[1] - model.prior[0])
     out = []
     for k in np.nonzero(np.maximum(odds, 0).sum(axis=0) > RUN_MARGIN)[0].tolist():
-        chain = CHAINS[_LOOSE[k] - 1]
+        number = int(_LOOSE[k]) - 1
         worth = odds[:, k]
         if pooled:
             worth = worth.astype(float)
@@ -316,19 +320,19 @@ def run_readings(model: Classifier, words: list[str], scores: np.ndarray, pooled
             # most chains end here, before the other words are read
             for at in (up, np.nonzero(worth <= 0)[0]):
                 for i in at.tolist():
-                    back = _restored(words[i], chain)
+                    back = _restored(words[i], number)
                     worth[i] = -1e6 if back is None else 0.0 if back == words[i] else worth[i]
                 if np.maximum(worth[up], 0).sum() <= RUN_MARGIN:
                     break
         total, first, end = _best_part(worth)
         if total <= RUN_MARGIN or sum(c > "\x7f" for w in words[first:end] for c in w) < RUN_CHARS:
             continue
-        texts = [_restored(w, chain) for w in words[first:end]]
+        texts = [_restored(w, number) for w in words[first:end]]
         if None in texts:
             continue
         gain = float(_right(model, texts).sum() - (scores[first:end, 0] - model.prior[0]).sum())
         if gain > RUN_MARGIN:
-            out.append(Reading(first, end, chain, texts, total, gain))
+            out.append(Reading(first, end, CHAINS[number], texts, total, gain))
     return out
 
 
@@ -422,7 +426,8 @@ def _inspect(model: Classifier, texts: list[str], seen: Mapping[str, int]) -> li
     words = list(index)
     scores = model.scores(words)
     verdicts = judge_words(model, words, scores)
-    loose = scores[:, _LOOSE].max(axis=1, initial=-np.inf) - scores[:, 0] - (model.prior[1] - model.prior[0]) if len(words) else np.zeros(0)
+    # what a word can add to a run at most, over all chains
+    loose = np.maximum(scores[:, _LOOSE].max(axis=1, initial=-np.inf) - scores[:, 0] - (model.prior[1] - model.prior[0]), 0).tolist() if len(words) else []
     out = []
     for t, f in zip(texts, found, strict=True):
         read = [(lo, hi, verdicts[index[w]]) for lo, hi, w in f if verdicts[index[w]]]
@@ -438,7 +443,9 @@ def _inspect(model: Classifier, texts: list[str], seen: Mapping[str, int]) -> li
             def read_run(run: list[tuple[int, int, str]], pooled: bool, asked=asked, spans=spans, read_as=read_as) -> bool:
                 rows = [index[w] for _, _, w in run]
                 own = [w for _, _, w in run]
-                readings = run_readings(model, own, scores[rows], pooled) if any(loose[r] > 0 for r in rows) else []
+                if sum(loose[r] for r in rows) <= RUN_MARGIN:
+                    return False
+                readings = run_readings(model, own, scores[rows], pooled)
                 asked.update(core(w) for r in readings for w in (*own[r.first : r.end], *r.texts))
                 got = judge_run(readings, own, [bool(verdicts[r]) for r in rows], seen)
                 if got:
