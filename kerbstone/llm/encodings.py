@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from kerbstone.runtime import materialise, salted_join
 
-#: Rows whose words train the classifier: the only bound, and on training alone.
+#: Distinct texts whose words train the classifier: a bound on training alone.
 TRAINING_ROWS = 6_000
+#: Bytes of those rows.
+TRAINING_BYTES = 64 << 20
 #: Hash buckets of the bigrams.
 BUCKETS = 1 << 15
 #: Log odds a word must gain by strict decoding as UTF-8, which right text hardly ever allows.
@@ -52,7 +54,10 @@ SINGLE_BYTE = (
 )
 TWICE = (("cp1252", "cp1252"), ("latin-1", "latin-1"), ("latin-1", "cp1252"), ("cp1252", "latin-1"), ("cp1251", "cp1251"), ("mac-roman", "mac-roman"), ("cp437", "cp437"), ("cp850", "cp850"), ("cp1250", "cp1250"))
 Chain = tuple[tuple[str, str], ...]
+#: Mistakes that lose bytes, as the reader puts U+FFFD for what it can't read.
+LOSSY: tuple[Chain, ...] = tuple(((a, f"{b} with losses"),) for a, b in (("utf-8", "ascii"), ("cp1252", "utf-8"), ("cp1251", "utf-8"), ("koi8-r", "utf-8"), ("cp866", "utf-8"), ("gbk", "utf-8")))
 CHAINS: tuple[Chain, ...] = (*((("utf-8", b),) for b in UTF8_READ_AS), *((p,) for p in SINGLE_BYTE), *((("utf-8", a), ("utf-8", b)) for a, b in TWICE))
+_CLASSES = CHAINS + LOSSY
 
 _HOLES: dict[str, dict[int, str]] = {}
 
@@ -88,6 +93,9 @@ def _bytes(text: str, encoding: str) -> bytes:
 def garble(text: str, chain: Chain) -> str:
     """What becomes of a text when each (written, read) step of the chain is taken; UnicodeError where it can't be."""
     for written, read in chain:
+        if read.endswith(" with losses"):
+            text = _bytes(text, written).decode(read.removesuffix(" with losses"), "replace") if written != "utf-8" else text.encode().decode(read.removesuffix(" with losses"), "replace")
+            continue
         text = _read(_bytes(text, written) if written != "utf-8" else text.encode(), read)
     return text
 
@@ -137,7 +145,7 @@ def bigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Classifier:
-    """``weights[b, c]``: log probability of bucket b in class c; class 0 is right text, then CHAINS. ``seen``: how
+    """``weights[b, c]``: log probability of bucket b in class c; class 0 is right text, then CHAINS, then LOSSY. ``seen``: how
     often each word, in small letters and without punctuation, occurs in the training words taken for right."""
 
     weights: np.ndarray
@@ -176,17 +184,17 @@ def _count(words: Counter) -> np.ndarray:
 def train(words: Counter, rounds: int = 2) -> Classifier:
     """Counts of each class from the words, also in other letter case, and from their garbled forms;
     in a further round the words taken for garbled no longer count as right."""
-    prior = np.log(np.array([1 - PRIOR, *([PRIOR / len(CHAINS)] * len(CHAINS))]))
+    prior = np.log(np.array([1 - PRIOR, *([PRIOR / len(_CLASSES)] * len(_CLASSES))]))
     model = None
     for _ in range(rounds):
-        clean = Counter({w: n for w, n in words.items() if "\ufffd" not in w})
+        clean = Counter(words)
         if model is not None and clean:
             for w, v in zip(list(clean), judge_words(model, list(clean)), strict=True):
                 if v:
                     del clean[w]
         cased = clean + Counter({w.upper(): 1 for w in clean}) + Counter({w.capitalize(): 1 for w in clean})
         counts = [_count(cased)]
-        for chain in CHAINS:
+        for chain in _CLASSES:
             made: Counter = Counter()
             for w, n in cased.items():
                 try:
@@ -217,9 +225,8 @@ class Verdict:
 #: Classes whose first step wrote UTF-8, so that inverting is a proof, and the others.
 _PROVEN = np.array([1 + i for i, c in enumerate(CHAINS) if c[0][0] == "utf-8"])
 _LOOSE = np.array([1 + i for i, c in enumerate(CHAINS) if c[0][0] != "utf-8"])
-#: The chain reported for replacement characters: bytes beyond ASCII were given up.
-REPLACED: Chain = (("utf-8", "ascii"),)
-_ORDER = {c: i for i, c in enumerate((*CHAINS, REPLACED))}
+_LOST = np.array([1 + len(CHAINS) + i for i in range(len(LOSSY))])
+_ORDER = {c: i for i, c in enumerate(_CLASSES)}
 
 
 def _right(model: Classifier, words: list[str]) -> np.ndarray:
@@ -229,7 +236,7 @@ def _right(model: Classifier, words: list[str]) -> np.ndarray:
 
 def judge_words(model: Classifier, words: list[str], scores: np.ndarray | None = None) -> list[list[Verdict]]:
     """Words that were UTF-8 once: of the chains the classifier proposes those that invert strictly to a text likelier, by
-    MARGIN, than the word as it is, the likeliest first; none for a right word."""
+    MARGIN, than the word as it is, the likeliest first, and words of a chain that loses bytes; none for a right word."""
     out: list[list[Verdict]] = [[] for _ in words]
     if not words:
         return out
@@ -255,9 +262,10 @@ def judge_words(model: Classifier, words: list[str], scores: np.ndarray | None =
         chain = CHAINS[_PROVEN[int(np.argmax(odds[i]))] - 1]
         if not out[i] and recovered_share(words[i], chain) >= LOST_SHARE:
             out[i] = [Verdict(chain, None)]
-    for i, w in enumerate(words):
-        if "\ufffd" in w:
-            out[i] = [Verdict(REPLACED, None)]
+    odds = scores[:, _LOST] - scores[:, :1] - (model.prior[1] - model.prior[0])
+    for i in np.nonzero(odds.max(axis=1) > LOST_MARGIN)[0].tolist():
+        if not out[i]:
+            out[i] = [Verdict(LOSSY[int(np.argmax(odds[i]))], None)]
     return out
 
 
@@ -435,7 +443,7 @@ def _inspect(model: Classifier, texts: list[str], seen: Mapping[str, int]) -> li
         asked: set[str] = set()
         if any(loose[index[w]] > 0 for _, _, w in f):
             # a word that lost bytes of UTF-8 may turn out as one of another encoding
-            free = [item for item in f if all(v.text is None and v.chain != REPLACED for v in verdicts[index[item[2]]])]
+            free = [item for item in f if all(v.text is None and v.chain not in LOSSY for v in verdicts[index[item[2]]])]
 
             at = {lo for lo, _, _ in free}
             read_as: set[int] = set()
@@ -467,13 +475,15 @@ def _inspect(model: Classifier, texts: list[str], seen: Mapping[str, int]) -> li
     return out
 
 
-def training_words(documents: DataFrame, rows: int = TRAINING_ROWS) -> Counter:
-    """Words beyond ASCII of about ``rows`` documents, chosen by the hash of their text; all that the driver sees."""
+def training_words(documents: DataFrame, rows: int = TRAINING_ROWS, size: int = TRAINING_BYTES) -> Counter:
+    """Words beyond ASCII, counted, of whole documents chosen by the hash of their text: about ``rows`` distinct ones of about ``size`` bytes
+    together, none of over a hundredth of it; all that the driver sees."""
     texts = documents.where("text IS NOT NULL AND text <> ''").select("text")
-    total = texts.count()
-    chosen = texts if total <= rows else texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int((1 << 30) * rows / total)))
-    word = cutter()[0]
-    return Counter(w for r in chosen.limit(2 * rows).toLocalIterator() for w in word.findall(r["text"]))
+    total = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    share = min(1.0, rows / max(total["n"], 1), size / max(total["bytes"], 1))
+    chosen = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int((1 << 30) * share))).where(F.octet_length("text") <= size // 100).distinct()
+    words = chosen.select(F.explode(F.split("text", r"[ \t\r\n]+")).alias("word")).where("word RLIKE '[^\\\\x00-\\\\x7F]'")
+    return Counter({r["word"]: r["n"] for r in words.groupBy("word").agg(F.count("*").alias("n")).toLocalIterator()})
 
 
 def corpus_words(documents: DataFrame, model) -> DataFrame:

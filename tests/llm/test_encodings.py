@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter
 
@@ -41,29 +42,41 @@ def test_round_trip_of_every_chain(texts):
         assert done > 20, chain
 
 
-def test_held_out_accuracy(model, texts):
-    """Sentences of documents without a finding, garbled: found, and restored where the chain allows."""
-    r = random.Random(1)
-    clean = [t for t, g in zip(texts, inspect(model, texts), strict=True) if not g.spans]
+def test_held_out_accuracy(texts):
+    """Trained on one half of the documents. Sentences of the other half, garbled, are found, and restored where the chain allows; as they are,
+    they are left alone."""
+    word = e.cutter()[0]
+    distinct = sorted(set(texts), key=lambda t: hashlib.md5(t.encode()).digest())
+    half = train(Counter(w for t in distinct[::2] for w in word.findall(t)))
+    # what the classifier of all documents finds garbled as it is can't be told from a wrong finding, so it takes no part
+    known = train(Counter(w for t in distinct for w in word.findall(t)))
+    clean = [t for t, g in zip(distinct[1::2], inspect(known, distinct[1::2]), strict=True) if not g.spans]
     lines = [x for t in clean for x in t.split("\n") if sum(c > "\x7f" for c in x) >= 6]
-    r.shuffle(lines)
-    hits = restored = tries = 0
-    for chain in ((("utf-8", "cp1252"),), (("utf-8", "latin-1"),), (("utf-8", "cp1251"),), (("utf-8", "cp437"),), (("cp1251", "mac-roman"),), (("koi8-r", "cp1251"),), (("cp1251", "latin-1"),), (("utf-8", "cp1252"), ("utf-8", "cp1252"))):
+    random.Random(1).shuffle(lines)
+    hits = restored = tries = lost = lost_hits = 0
+    for chain in (*((("utf-8", b),) for b in ("cp1252", "latin-1", "cp1251", "cp437")), (("cp1251", "mac-roman"),), (("koi8-r", "cp1251"),), (("cp1251", "latin-1"),), (("utf-8", "cp1252"), ("utf-8", "cp1252")), *e.LOSSY):
         made = []
         for x in lines:
             try:
                 g = garble(x, chain)
             except UnicodeError:
                 continue
-            if g != x and len(made) < 60:
+            if g != x and len(made) < 60 and (chain not in e.LOSSY or "\ufffd" in g):
                 made.append((x, g))
-        for (x, g), found in zip(made, inspect(model, [g for _, g in made]), strict=True):
-            tries += 1
-            hits += bool(found.spans)
-            restored += found.restored(g) == x
-    assert tries > 200
-    assert hits / tries > 0.97
+        for (x, g), found in zip(made, inspect(half, [g for _, g in made]), strict=True):
+            if chain in e.LOSSY:
+                lost += 1
+                lost_hits += bool(found.spans)
+            else:
+                tries += 1
+                hits += bool(found.spans)
+                restored += found.restored(g) == x
+    wrong = sum(bool(g.spans) for g in inspect(half, clean))
+    print(f"found {hits} of {tries}, restored {restored}; lossy {lost_hits} of {lost}; wrong {wrong} of {len(clean)}")
+    assert tries > 200 and lost > 60
+    assert hits / tries > 0.97 and lost_hits / lost > 0.97
     assert restored / tries > 0.85
+    assert wrong <= 0.02 * len(clean)
 
 
 def test_right_text_is_left_alone(model):
@@ -76,7 +89,7 @@ def test_cases(model):
     assert [len(g.spans) for g in got] == [3, 1, 0, 0, 1]
     assert got[0].restored("La camÃ©ra Ã©tait lÃ\u00a0.") == "La caméra était là."
     assert got[1].spans[0][2].text is None
-    assert train(Counter()).scores(["é"]).shape == (1, len(CHAINS) + 1)
+    assert train(Counter()).scores(["é"]).shape == (1, len(CHAINS) + len(e.LOSSY) + 1)
 
 
 def test_long_texts_are_looked_at_whole(model, monkeypatch):
