@@ -186,6 +186,7 @@ def train(words: Counter, rounds: int = 2) -> Classifier:
     in a further round the words taken for garbled no longer count as right."""
     prior = np.log(np.array([1 - PRIOR, *([PRIOR / len(_CLASSES)] * len(_CLASSES))]))
     model = None
+    made_of: list[dict[str, str]] = [{} for _ in _CLASSES]  # words garbled in the first round
     for _ in range(rounds):
         clean = Counter(words)
         if model is not None and clean:
@@ -194,13 +195,16 @@ def train(words: Counter, rounds: int = 2) -> Classifier:
                     del clean[w]
         cased = clean + Counter({w.upper(): 1 for w in clean}) + Counter({w.capitalize(): 1 for w in clean})
         counts = [_count(cased)]
-        for chain in _CLASSES:
+        for chain, known in zip(_CLASSES, made_of, strict=True):
             made: Counter = Counter()
+            if model is None:
+                for w in cased:
+                    try:
+                        known[w] = garble(w, chain)
+                    except UnicodeError:
+                        continue
             for w, n in cased.items():
-                try:
-                    g = garble(w, chain)
-                except UnicodeError:
-                    continue
+                g = known.get(w, w)
                 if g != w:
                     made[g] += n
             counts.append(_count(made))
@@ -262,10 +266,11 @@ def judge_words(model: Classifier, words: list[str], scores: np.ndarray | None =
         chain = CHAINS[_PROVEN[int(np.argmax(odds[i]))] - 1]
         if not out[i] and recovered_share(words[i], chain) >= LOST_SHARE:
             out[i] = [Verdict(chain, None)]
-    odds = scores[:, _LOST] - scores[:, :1] - (model.prior[1] - model.prior[0])
-    for i in np.nonzero(odds.max(axis=1) > LOST_MARGIN)[0].tolist():
+    likeliest = scores.argmax(axis=1)
+    sure = scores.max(axis=1) - scores[:, 0] - (model.prior[1] - model.prior[0]) > LOST_MARGIN
+    for i in np.nonzero((likeliest >= _LOST[0]) & sure)[0].tolist():
         if not out[i]:
-            out[i] = [Verdict(LOSSY[int(np.argmax(odds[i]))], None)]
+            out[i] = [Verdict(LOSSY[likeliest[i] - _LOST[0]], None)]
     return out
 
 
@@ -302,9 +307,30 @@ class Reading:
     gain: float
 
 
+class _Back(dict):
+    """Characters as read to characters as written, of two encodings of single bytes; others become a mark."""
+
+    def __init__(self, written: str, read: str) -> None:
+        to, back = _tables(written)[0], _tables(read)[1]
+        super().__init__({c: to[ord(b)] for c, b in back.items()})
+
+    def __missing__(self, c: int) -> str:
+        return "\uffff"
+
+
+@lru_cache(maxsize=None)
+def _back(k: int) -> _Back | None:
+    ((written, read), *more) = CHAINS[k]
+    return None if more or {written, read} & {"utf-8", "gbk", "big5"} else _Back(written, read)
+
+
 @lru_cache(maxsize=1 << 18)
 def _restored(word: str, k: int) -> str | None:
     """The word before the k-th chain, None where that can't be; texts share most of their words."""
+    table = _back(k)
+    if table is not None:
+        text = word.translate(table)
+        return None if "\uffff" in text else text
     try:
         return restore(word, CHAINS[k])
     except UnicodeError:
@@ -325,13 +351,19 @@ def run_readings(model: Classifier, words: list[str], scores: np.ndarray, pooled
         if pooled:
             worth = worth.astype(float)
             up = np.nonzero(worth > 0)[0]
-            # most chains end here, before the other words are read
-            for at in (up, np.nonzero(worth <= 0)[0]):
-                for i in at.tolist():
-                    back = _restored(words[i], number)
-                    worth[i] = -1e6 if back is None else 0.0 if back == words[i] else worth[i]
-                if np.maximum(worth[up], 0).sum() <= RUN_MARGIN:
-                    break
+            # most chains end here, before the other words are read; the best part begins and ends with one of these
+            for i in up.tolist():
+                back = _restored(words[i], number)
+                if back is None or back == words[i]:
+                    worth[i] = -1e6 if back is None else 0.0
+            up = up[worth[up] > 0]
+            if worth[up].sum() <= RUN_MARGIN:
+                continue
+            worth[: up[0]] = worth[up[-1] + 1 :] = -1e6
+            for i in (up[0] + np.nonzero(worth[up[0] : up[-1]] <= 0)[0]).tolist():
+                back = _restored(words[i], number)
+                if back is None or back == words[i]:
+                    worth[i] = -1e6 if back is None else 0.0
         total, first, end = _best_part(worth)
         if total <= RUN_MARGIN or sum(c > "\x7f" for w in words[first:end] for c in w) < RUN_CHARS:
             continue
@@ -441,7 +473,7 @@ def _inspect(model: Classifier, texts: list[str], seen: Mapping[str, int]) -> li
         read = [(lo, hi, verdicts[index[w]]) for lo, hi, w in f if verdicts[index[w]]]
         spans = {lo: (lo, hi, v) for (lo, hi, _), v in zip(read, _agreed([r for _, _, r in read]), strict=True)}
         asked: set[str] = set()
-        if any(loose[index[w]] > 0 for _, _, w in f):
+        if sum(loose[index[w]] for _, _, w in f) > RUN_MARGIN:
             # a word that lost bytes of UTF-8 may turn out as one of another encoding
             free = [item for item in f if all(v.text is None and v.chain not in LOSSY for v in verdicts[index[item[2]]])]
 
