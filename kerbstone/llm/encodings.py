@@ -8,9 +8,10 @@ decodes strictly.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
@@ -151,6 +152,7 @@ class Classifier:
     weights: np.ndarray
     prior: np.ndarray
     seen: Counter
+    right: dict[str, float] = field(default_factory=dict, compare=False)
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Log joint probability (word, class)."""
@@ -234,8 +236,14 @@ _ORDER = {c: i for i, c in enumerate(_CLASSES)}
 
 
 def _right(model: Classifier, words: list[str]) -> np.ndarray:
-    """Log probability of each as right text."""
-    return model.scores(words)[:, 0] - model.prior[0] if words else np.zeros(0)
+    """Log probability of each as right text; texts share most of their words."""
+    known = model.right
+    if len(known) > 1 << 19:
+        known.clear()
+    new = [w for w in dict.fromkeys(words) if w not in known]
+    if new:
+        known.update(zip(new, (model.scores(new)[:, 0] - model.prior[0]).tolist(), strict=True))
+    return np.array([known[w] for w in words])
 
 
 def judge_words(model: Classifier, words: list[str], scores: np.ndarray | None = None) -> list[list[Verdict]]:
@@ -399,9 +407,7 @@ def judge_run(readings: list[Reading], words: list[str], lost: list[bool], seen:
 
 def cutter():
     """Words with characters beyond ASCII; between two words of a run stand no letters of other words."""
-    import regex
-
-    return regex.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*"), regex.compile(r"[A-Za-z\n]")
+    return re.compile(r"(?<![^ \t\r\n])[^ \t\r\n\x80-\U0010ffff]*+[^\x00-\x7f][^ \t\r\n]*"), re.compile(r"[A-Za-z\n]")
 
 
 @dataclass(frozen=True)
@@ -542,7 +548,7 @@ def find_garbled(documents: DataFrame, training_rows: int = TRAINING_ROWS) -> Da
     whose verdict depends on words of the corpus are judged by their counts in all documents.
     """
     spark = documents.sparkSession
-    model = spark.sparkContext.broadcast(replace(train(training_words(documents, training_rows)), seen=Counter()))
+    model = spark.sparkContext.broadcast(replace(train(training_words(documents, training_rows)), seen=Counter(), right={}))
     names = ["doc_id", "restored", "words", "lost", "chains"]
     schema = "doc_id long, restored string, words int, lost int, chains array<string>"
 
