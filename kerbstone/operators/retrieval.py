@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbstone.functions.vectors import dot, unit
-from kerbstone.runtime import global_number, materialise
+from kerbstone.runtime import global_number, materialise, parallelism
 
-#: Bytes of query vectors that are shipped to every task; a larger query set is searched block by block.
+#: Bytes of vectors of a block of queries or of database rows; one task multiplies two blocks.
 BLOCK_BYTES = 64 << 20
+#: Scores that are held at a time.
+SCORES = 8 << 20
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -27,44 +29,57 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest scores of each row, of equal ones the first columns."""
+    if scores.shape[1] <= k:
+        return np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+    best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(scores, best, 1).min(axis=1)
+    for i in np.nonzero((scores >= least[:, None]).sum(axis=1) > k)[0].tolist():
+        above = np.nonzero(scores[i] > least[i])[0]
+        best[i] = np.concatenate([above, np.nonzero(scores[i] == least[i])[0][: k - len(above)]])
+    return best
+
+
 def top_k(queries: DataFrame, database: DataFrame, k: int) -> DataFrame:
     """``q, rank, d, score``: the k database vectors most similar to each query vector, ranks from 1.
 
-    Both sides have ``id, v``; rows with a null id or vector take no part, vectors of another width are an error. Each task
-    multiplies a block of queries with its rows and keeps k per query; the partial lists are merged.
+    Both sides have ``id, v``; rows with a null id or vector take no part, vectors of another width are an error. Both sides are
+    cut into blocks of bounded size by hash, a task multiplies a block of queries with one of the database and keeps k per query, and the
+    partial lists are merged. No vector passes through the driver.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    spark = database.sparkSession
     clean = lambda df: df.where("id IS NOT NULL AND v IS NOT NULL").select(F.col("id").cast("long"), F.col("v").cast("array<double>"))
-    asked = clean(queries)
-    shape = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
-    n, dim = shape["n"], shape["dim"] or 1
-    blocks = max(1, -(-n * dim * 8 // BLOCK_BYTES))
-    parts = None
-    for b in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        got = block.toArrow()
-        shipped = spark.sparkContext.broadcast((got.column(0).to_numpy(), _matrix(got.column(1), dim)))
-
-        def search(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            ids, q = shipped.value
-            best_score, best_id = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                d = batch.column(0).to_numpy()
-                score = q @ _matrix(batch.column(1), dim).T
-                score = np.concatenate([best_score, score], axis=1)
-                every = np.concatenate([best_id, np.broadcast_to(d, (len(ids), len(d)))], axis=1)
-                order = np.lexsort((every, -score), axis=1)[:, :k]
-                best_score, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(every, order, 1)
-            if best_id.size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_id.shape[1])), pa.array(best_id.ravel()), pa.array(best_score.ravel())], names=["q", "d", "score"])
-
-        found = clean(database).mapInArrow(search, "q long, d long, score double")
-        parts = found if parts is None else parts.unionByName(found)
-    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d")))
+    asked, known = clean(queries), clean(database)
+    size = lambda df: df.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    q, d = size(asked), size(known)
+    dim = d["dim"] or q["dim"] or 1
+    blocks = lambda n: max(1, -(-n * dim * 8 // BLOCK_BYTES))
+    # as few blocks of the database as keep all tasks busy, since every block of it reads all queries
+    rows, columns = blocks(q["n"]), max(blocks(d["n"]), -(-parallelism(database.sparkSession) // blocks(q["n"])))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    a = asked.withColumn("i", own(rows)).withColumn("j", every(columns))
+    b = known.withColumn("j", own(columns)).withColumn("i", every(rows))
+    schema = pa.schema([("q", pa.int64()), ("d", pa.int64()), ("score", pa.float64())])
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        right = right.sort_by("id")
+        ids, names = left.column("id").to_numpy(), right.column("id").to_numpy()
+        m, to = _matrix(left.column("v"), dim), _matrix(right.column("v"), dim).T
+        parts = []
+        step = max(1, SCORES // len(names))
+        for at in range(0, len(ids), step):
+            score = m[at : at + step] @ to
+            best = _best(score, k)
+            parts.append(pa.table([np.repeat(ids[at : at + step], best.shape[1]), names[best].ravel(), np.take_along_axis(score, best, 1).ravel()], schema=schema))
+        return pa.concat_tables(parts)
+
+    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(search, "q long, d long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d")))
     return ranked.where(F.col("rank") <= k).select("q", "rank", "d", "score")
 
 
@@ -103,15 +118,24 @@ def aligned(paths: DataFrame, descriptors: DataFrame) -> DataFrame:
     return found.select("row", F.coalesce("v", F.raise_error(F.concat(F.lit("no image descriptor for frame "), "path")).cast("array<double>")).alias("v"))
 
 
-def _random_candidates(short: DataFrame, n: int, size: int, seed: int) -> DataFrame:
-    """``q, d, k`` for queries (q, blocked): pseudo-random database numbers in a fixed order, enough of them that those
-    not blocked fill n places; where most of the database is blocked, all of it."""
-    tries = F.least(F.lit(4 * size + 16), (F.col("blocked") + n) * 4 + 16)
-    draw = F.transform(F.sequence(F.lit(1), tries.cast("int")), lambda j: F.struct(F.pmod(F.xxhash64(F.lit(seed), F.col("q"), j), F.lit(size)).alias("d"), j.alias("k")))
-    few = short.where(F.col("blocked") * 2 <= size).select("q", F.explode(draw).alias("c")).select("q", "c.d", "c.k")
-    most = short.where(F.col("blocked") * 2 > size).select("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))).alias("d"))
-    most = most.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy(F.xxhash64(F.lit(seed), "q", "d"), "d")))
-    return few.groupBy("q", "d").agg(F.min("k").alias("k")).unionByName(most)
+def _random_candidates(queries: DataFrame, blocked: DataFrame, n: int, size: int, seed: int) -> DataFrame:
+    """``q, d, k``: for each query (q) pseudo-random database numbers that aren't blocked (q, d), each once, in the order of k.
+
+    Draws are ranks among the numbers left: the r-th of those is r and as many as there are blocked ones of a lower rank. Where
+    no more than 2n are left, all of them are drawn.
+    """
+    at = F.row_number().over(Window.partitionBy("q").orderBy("d")) - 1
+    taken = blocked.where(F.col("d").between(0, size - 1)).join(queries.select("q"), "q", "left_semi").select("q", (F.col("d") - at).alias("r"))
+    free = queries.select("q").join(taken.groupBy("q").agg(F.count("*").alias("b")), "q", "left").select("q", (F.lit(size) - F.coalesce("b", F.lit(0))).alias("free")).where("free > 0")
+    few = F.col("free") <= 2 * n
+    tries = F.when(few, F.col("free")).otherwise(F.lit(8 * n + 32))
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "q", "j")), 1, 15), 16, 10).cast("long")
+    drawn = free.select("q", "free", F.explode(F.sequence(F.lit(1).cast("long"), tries)).alias("j")).withColumn("key", key)
+    drawn = drawn.select("q", F.when(few, F.col("j") - 1).otherwise(F.col("key") % F.col("free")).alias("r"), F.when(few, F.col("key")).otherwise(F.col("j")).alias("k"))
+    drawn = drawn.groupBy("q", "r").agg(F.min("k").alias("k"))
+    both = taken.select("q", "r", F.lit(None).cast("long").alias("k")).unionByName(drawn)
+    lower = F.count_if(F.col("k").isNull()).over(Window.partitionBy("q").orderBy("r", F.col("k").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("d", F.col("r") + lower).where("k IS NOT NULL").select("q", "d", "k")
 
 
 def _repeat_to(selected: DataFrame, n: int) -> DataFrame:
@@ -138,9 +162,8 @@ def hard_negatives(queries: DataFrame, database: DataFrame, positives: DataFrame
     found = nearest.join(blocked, ["q", "d"], "left_anti").select("q", F.col("rank").cast("long").alias("k"), "d")
     found = found.withColumn("_at", F.row_number().over(Window.partitionBy("q").orderBy("k"))).where(F.col("_at") <= n).drop("_at")
     counts = queries.select(F.col("id").alias("q")).distinct().join(found.groupBy("q").agg(F.count("*").alias("c")), "q", "left").where(F.coalesce("c", F.lit(0)) < n)
-    short = counts.join(blocked.groupBy("q").agg(F.count("*").alias("b")), "q", "left").select("q", (F.coalesce("b", F.lit(0)) + F.coalesce("c", F.lit(0))).alias("blocked"))
     taken = blocked.unionByName(found.select("q", "d"))
-    filled = _random_candidates(short, n, size, seed).join(taken, ["q", "d"], "left_anti").select("q", (F.col("k") + size).cast("long").alias("k"), "d")
+    filled = _random_candidates(counts, taken, n, size, seed).select("q", (F.col("k") + size).alias("k"), "d")
     return _repeat_to(found.unionByName(filled), n)
 
 
@@ -148,9 +171,8 @@ def random_negatives(queries: DataFrame, size: int, positives: DataFrame, n: int
     """``q, slot, d``: pseudo-random items that aren't blocked, the same for the same seed; too few repeat in turn."""
     blocked = positives.select("q", "d")
     blocked = (blocked if exclusions is None else blocked.unionByName(exclusions.select("q", "d"))).distinct()
-    counts = queries.select(F.col("id").alias("q")).distinct().join(blocked.groupBy("q").agg(F.count("*").alias("b")), "q", "left").select("q", F.coalesce("b", F.lit(0)).alias("blocked"))
-    drawn = _random_candidates(counts, n, size, seed).join(blocked, ["q", "d"], "left_anti")
-    return _repeat_to(drawn.select("q", F.col("k").cast("long").alias("k"), "d"), n)
+    asked = queries.select(F.col("id").alias("q")).distinct()
+    return _repeat_to(_random_candidates(asked, blocked, n, size, seed), n)
 
 
 def grouped_negatives(queries: DataFrame, database: DataFrame, positives: DataFrame, n: int, depth: int = 256, seed: int = 0, exclusions: DataFrame | None = None) -> DataFrame:

@@ -149,6 +149,11 @@ _FINGERPRINT = "f AS (SELECT o_orderkey AS key, sha256(concat_ws(chr(31), 'v3',
 _DECIDED = f"""{_FINGERPRINT}, act AS (SELECT key, CASE WHEN key % 7 <> 0 AND key % 11 <> 0 AND key % 13 <> 0 THEN 'reuse' ELSE 'compute' END AS action FROM f UNION ALL SELECT -key, 'stale' FROM f WHERE key % 100 = 1)"""
 
 SQL = {
+    "random_negatives": f"""WITH {_BASE}, bl AS (SELECT q, d FROM s WHERE positive), fr AS (SELECT q.q, (SELECT count(*) FROM d) - count(bl.d) AS free FROM q LEFT JOIN bl USING (q) GROUP BY q.q),
+j AS (SELECT q, free, unnest(generate_series(1, CASE WHEN free <= 8 THEN free ELSE 64 END)) AS j FROM fr), dr AS (SELECT *, CAST('0x' || substr(md5('7|' || q || '|' || j), 1, 15) AS BIGINT) AS key FROM j),
+rk AS (SELECT q, CASE WHEN free <= 8 THEN j - 1 ELSE key % free END AS r, min(CASE WHEN free <= 8 THEN key ELSE j END) AS k FROM dr GROUP BY 1, 2),
+bw AS (SELECT q, d - (row_number() OVER (PARTITION BY q ORDER BY d) - 1) AS r FROM bl), c AS (SELECT rk.q, rk.k, rk.r + count(bw.r) AS d FROM rk LEFT JOIN bw ON bw.q = rk.q AND bw.r <= rk.r GROUP BY rk.q, rk.k, rk.r),
+o AS (SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY k, d) - 1 AS slot FROM c) SELECT q, slot, d FROM o WHERE slot < 4""",
     "vector_topk_cosine": f"WITH {_BASE} SELECT q, rank, d, round(score, 6) AS score FROM t WHERE rank <= 10",
     "recall_at_k": f"WITH {_BASE} {_RECALL.format('t')}",
     "unit_vectors": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM e) SELECT vec_id, i - 1 AS pos, round(v[i] / n, 6) AS value FROM n, LATERAL (SELECT unnest(range(1, len(v) + 1)) AS i)",
