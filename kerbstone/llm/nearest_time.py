@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Width of a time bucket in the unit of the stamps (ns): 4 s.
 BUCKET = 4_000_000_000
-#: Samples per Arrow group on average.
+#: Rows of both sides per Arrow group on average.
 GROUP_ROWS = 100_000
 
 _JOIN = """
@@ -37,7 +37,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: int, bucket: i
     if not 0 <= tolerance < bucket:
         raise ValueError("the tolerance must be shorter than a bucket")
     spark = left.sparkSession
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(right.count() / group_rows))
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((left.count() + right.count()) / group_rows))
     group = F.pmod(F.xxhash64("entity", "bucket"), F.lit(groups)).cast("int")
     at = lambda shift: F.expr(f"CASE WHEN ts + {shift} >= 0 THEN (ts + {shift}) DIV {bucket} ELSE (ts + {shift} + 1) DIV {bucket} - 1 END")
     probes = left.where("entity IS NOT NULL AND key IS NOT NULL AND ts IS NOT NULL").select("entity", at(0).alias("bucket"), "ts", "key").withColumn("g", group)
@@ -54,6 +54,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: int, bucket: i
         with duckdb.connect() as con:
             con.execute("SET threads = 1")
             con.execute("SET memory_limit = '512MB'")
+            con.execute("SET temp_directory = ''")  # nothing goes to this machine's disk; the group is what is bounded
             con.register("f", f)
             con.register("s", s)
             got = con.sql(_JOIN, params={"tolerance": tolerance}).to_arrow_table()
