@@ -12,15 +12,24 @@ from pyspark.sql import functions as F
 
 #: Width of a time bucket in the unit of the stamps (ns): 60 s.
 BUCKET = 60_000_000_000
+#: Records of a bucket, about, where its width is left open.
+BUCKET_ROWS = 20_000
 
 
-def around(probes: DataFrame, samples: DataFrame, by: str, ts: str, payload: list[str], bucket: int = BUCKET) -> DataFrame:
+def sized_bucket(samples: DataFrame, ts: str) -> int:
+    """A width, in the unit of the stamps, that holds about BUCKET_ROWS records of one dense series."""
+    r = samples.agg(F.count(ts).alias("n"), (F.max(ts) - F.min(ts)).alias("span")).first()
+    return max(1, int((r["span"] or 0) * BUCKET_ROWS // max(r["n"], 1)) + 1)
+
+
+def around(probes: DataFrame, samples: DataFrame, by: str, ts: str, payload: list[str], bucket: int | None = BUCKET) -> DataFrame:
     """``probes`` with ``before`` and ``after``: structs of the stamp and payload of the record strictly before the probe's
     stamp and of the one at or after it, null where there is none.
 
     Of records with one stamp the largest payload counts before, the smallest after. Probes with a null stamp or
-    sequence have neither; samples with one take no part.
+    sequence have neither; samples with one take no part. Without a ``bucket`` its width follows from the number of samples.
     """
+    bucket = sized_bucket(samples, ts) if bucket is None else bucket
     one = samples.where(F.col(by).isNotNull() & F.col(ts).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(ts).alias("_ts")).agg(F.min(F.struct(*payload)).alias("_lo"), F.max(F.struct(*payload)).alias("_hi")).withColumn("_b", F.expr(f"(_ts - pmod(_ts, {bucket})) DIV {bucket}"))
     asked = probes.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in probes.columns])).select(F.col(by).alias("_by"), F.col(ts).alias("_ts"), "_row").withColumn("_b", F.expr(f"(_ts - pmod(_ts, {bucket})) DIV {bucket}"))
     nothing = lambda c: F.lit(None).cast(one.schema[c].dataType)
@@ -42,7 +51,7 @@ def around(probes: DataFrame, samples: DataFrame, by: str, ts: str, payload: lis
     return out.select("_row.*", "before", "after")
 
 
-def nearest(probes: DataFrame, samples: DataFrame, by: str, ts: str, payload: list[str], tolerance: int | None = None, bucket: int = BUCKET) -> DataFrame:
+def nearest(probes: DataFrame, samples: DataFrame, by: str, ts: str, payload: list[str], tolerance: int | None = None, bucket: int | None = BUCKET) -> DataFrame:
     """``probes`` with ``found`` (the nearer of the two, of equal ones the earlier), ``delta`` and ``clamped``.
 
     ``clamped`` tells a probe outside the range of the records. Beyond the tolerance ``found`` is null.

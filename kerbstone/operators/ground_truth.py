@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbstone.operators.asof import interpolate, nearest
-from kerbstone.operators.spatial import located, near_pairs
-from kerbstone.runtime import side_by_side
+from kerbstone.operators.spatial import latest_nearby, located, near_pairs
 
 #: The metric radius, and the frames that must lie between two visits of a place.
 RADIUS_M, REVISIT_SPAN = 25.0, 200
@@ -52,13 +51,17 @@ def radius_positives(queries: DataFrame, database: DataFrame, radius: float = RA
 
 
 def revisit_fraction(positions: DataFrame, radius: float = RADIUS_M, span: int = REVISIT_SPAN) -> DataFrame:
-    """One row: the share of frames (id, x, y, dense ids in order) near one at least ``span`` later; 0 for short logs."""
-    a = positions.select("id", "x", "y")
-    b = positions.select((F.col("id")).alias("id"), "x", "y")
-    pairs = radius_positives(a, b, radius).where(F.col("d") >= F.col("q") + span)
-    hits = pairs.agg(F.count_distinct("q").alias("hits"))
-    total = positions.agg(F.count("*").alias("frames"))
-    return side_by_side(total, hits).select("frames", F.when(F.col("frames") > span, F.col("hits") / F.col("frames")).otherwise(F.lit(0.0)).alias("revisits"))
+    """``sequence, frames, revisits``: per recording (sequence, n, x, y) the share of frames near one at least ``span`` later; 0 for short logs.
+
+    ``n`` numbers the frames of all recordings, those of one without gaps in their order. Each frame asks for the latest one within reach, so
+    a place where a vehicle stands gives as many rows as frames, not pairs.
+    """
+    logs = positions.groupBy("sequence").agg(F.min("n").alias("log"), F.count("*").alias("frames"))
+    placed = positions.join(logs.select("sequence", "log"), "sequence").select(F.col("n").alias("id"), "x", "y", F.col("log").alias("group"))
+    latest = latest_nearby(placed, radius).where(F.col("latest") >= F.col("id") + span).select(F.col("id").alias("n"))
+    hits = positions.select("sequence", "n").join(latest, "n").groupBy("sequence").agg(F.count("*").alias("hits"))
+    share = F.when(F.col("frames") > span, F.coalesce("hits", F.lit(0)) / F.col("frames")).otherwise(F.lit(0.0))
+    return logs.join(hits, "sequence", "left").select("sequence", "frames", share.alias("revisits"))
 
 
 def map_correspondences(loops: DataFrame, reference: DataFrame, query: DataFrame, tolerance: int = TOLERANCE_NS, strict: bool = True) -> DataFrame:
@@ -70,7 +73,7 @@ def map_correspondences(loops: DataFrame, reference: DataFrame, query: DataFrame
     def at(probe: str, frames: DataFrame, name: str, outside_is_null: bool) -> DataFrame:
         asked = loops.select("loop", F.lit("x").alias("by"), F.col(probe).alias("t"))
         known = frames.select(F.lit("x").alias("by"), F.col("ts").alias("t"), "idx")
-        got = nearest(asked, known, "by", "t", ["idx"])
+        got = nearest(asked, known, "by", "t", ["idx"], bucket=None)
         far = F.col("delta") > tolerance
         message = F.concat(F.lit(f"{probe} of correspondence "), F.col("loop").cast("string"), F.lit(" is too far from any frame"))
         index = F.col("found.idx")
@@ -87,8 +90,8 @@ def interval_positives(loops: DataFrame) -> DataFrame:
     return whole.select(F.col("query_index").alias("q"), F.explode(F.sequence(F.least("start_index", "end_index"), F.greatest("start_index", "end_index"))).alias("d")).distinct()
 
 
-def inherited_positives(loops: DataFrame, singles: DataFrame, query: DataFrame) -> DataFrame:
-    """``q, d``: every query frame (idx, ts) takes the interval of the nearest keyframe, of equally near the earlier.
+def inherited_intervals(loops: DataFrame, singles: DataFrame, query: DataFrame) -> DataFrame:
+    """``q, a, b``: every query frame (idx, ts) takes the intervals of the nearest keyframe, of equally near the earlier; they don't overlap.
 
     Keyframes are the queries of ``loops`` (with ``query_ts``) and ``singles`` (ts) inside the queries' time range. A single, or a loop
     without both ends, gives no positives; a loop at the stamp of a single counts.
@@ -99,9 +102,18 @@ def inherited_positives(loops: DataFrame, singles: DataFrame, query: DataFrame)
     of_singles = singles.select(F.col("ts").alias("t"), F.lit(None).cast("struct<a:long,b:long>").alias("i"))
     keys = of_loops.unionByName(of_singles).where(F.col("t").between(F.lit(span["lo"]).cast("long"), F.lit(span["hi"]).cast("long")))
     at = keys.select(F.lit("x").alias("by"), "t").distinct().withColumn("k", F.col("t"))
-    got = nearest(query.select("idx", F.lit("x").alias("by"), F.col("ts").alias("t")), at, "by", "t", ["k"]).select("idx", F.col("found.k").alias("k"))
-    intervals = keys.where("i IS NOT NULL").select(F.col("t").alias("k"), "i")
-    return got.join(intervals, "k").select(F.col("idx").alias("q"), F.explode(F.sequence(F.col("i.a"), F.col("i.b"))).alias("d")).distinct()
+    got = nearest(query.select("idx", F.lit("x").alias("by"), F.col("ts").alias("t")), at, "by", "t", ["k"], bucket=None).select("idx", F.col("found.k").alias("k"))
+    # overlapping intervals of a keyframe become one
+    along = Window.partitionBy("k").orderBy("a", "b")
+    reached = F.max("b").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    own = keys.where("i IS NOT NULL").select(F.col("t").alias("k"), "i.a", "i.b").withColumn("new", F.coalesce((F.col("a") > reached).cast("int"), F.lit(1)))
+    merged = own.withColumn("run", F.sum("new").over(along)).groupBy("k", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return got.join(merged, "k").select(F.col("idx").alias("q"), "a", "b")
+
+
+def inherited_positives(loops: DataFrame, singles: DataFrame, query: DataFrame) -> DataFrame:
+    """``q, d``: every frame of the ``inherited_intervals``."""
+    return inherited_intervals(loops, singles, query).select("q", F.explode(F.sequence("a", "b")).alias("d"))
 
 
 def extend_folds(folds: DataFrame, frames: DataFrame, max_gap: int) -> DataFrame:
@@ -112,5 +124,5 @@ def extend_folds(folds: DataFrame, frames: DataFrame, max_gap: int) -> DataFrame
     known = folds.select(F.col("fold").cast("string").alias("by"), stamp.alias("t"), "part").where("t IS NOT NULL")
     every = F.array(*[F.lit(r["fold"]) for r in folds.select("fold").distinct().collect()]).cast("array<int>")  # a handful
     asked = frames.select(F.explode(every).alias("fold"), "stem", F.col("ts").alias("t")).withColumn("by", F.col("fold").cast("string"))
-    got = nearest(asked, known, "by", "t", ["part"], max_gap).where("found IS NOT NULL").select("fold", F.col("found.part").alias("part"), "stem")
+    got = nearest(asked, known, "by", "t", ["part"], max_gap, None).where("found IS NOT NULL").select("fold", F.col("found.part").alias("part"), "stem")
     return folds.select("fold", "part", "stem").unionByName(got.join(folds.select("fold", "stem"), ["fold", "stem"], "left_anti").select("fold", "part", "stem"))

@@ -182,6 +182,16 @@ def sampled_quadtree(points: DataFrame, radius: float, seed: int = 17, leaf_poin
     return build_quadtree(x, y, b.astype(np.int64), rows / max(len(x), 1), radius, leaf_points), rows
 
 
+def latest_nearby(points: DataFrame, radius: float, leaf_points: int = LEAF_POINTS) -> DataFrame:
+    """``id, latest``: the largest id of the same ``group`` at most ``radius`` from each point (id, x, y, group), itself included.
+
+    Found as ``near_pairs`` finds pairs, but a leaf hands on one row per point.
+    """
+    both = points.select("id", "x", "y", F.explode(F.array(F.lit(False), F.lit(True))).alias("side_b"), "group")
+    found = _near(both, radius, leaf_points, grouped=True)
+    return found.groupBy(F.col("id_a").alias("id")).agg(F.max("id_b").alias("latest"))
+
+
 def near_pairs(points: DataFrame, radius: float, leaf_points: int = LEAF_POINTS) -> DataFrame:
     """``id_a, id_b`` of each point of side A and each of side B at most ``radius`` apart.
 
@@ -189,7 +199,13 @@ def near_pairs(points: DataFrame, radius: float, leaf_points: int = LEAF_POINTS)
     or NaN in any of them take no part. An id delivered again at the same place counts once.
     Every pair is given: a crowded place is cut into salted blocks, not thinned.
     """
-    clean = points.select("id", "x", "y", "side_b").where("id IS NOT NULL AND side_b IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").where("x IS NOT NULL AND y IS NOT NULL")
+    return _near(points, radius, leaf_points)
+
+
+def _near(points: DataFrame, radius: float, leaf_points: int, grouped: bool = False) -> DataFrame:
+    """``near_pairs``; ``grouped``, of each point and leaf the pair with the largest ``id_b`` of the same group."""
+    extra = ["group"] if grouped else []
+    clean = points.select("id", "x", "y", "side_b", *extra).where("id IS NOT NULL AND side_b IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").where("x IS NOT NULL AND y IS NOT NULL")
     tree, rows = sampled_quadtree(clean, radius, leaf_points=leaf_points)
     spark = points.sparkSession
     shipped = spark.sparkContext.broadcast(tree)  # at most a leaf per sampled point
@@ -210,7 +226,8 @@ def near_pairs(points: DataFrame, radius: float, leaf_points: int = LEAF_POINTS)
                 salt = np.where(b[row], each * kb + mine, mine * kb + each)
             else:
                 salt = np.zeros(len(row), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(b[row]), pa.array(ids[row]), pa.array(x[row]), pa.array(y[row])], names=["leaf", "salt", "side_b", "id", "x", "y"])
+            more = [batch.column(4).take(pa.array(row))] if grouped else []
+            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(b[row]), pa.array(ids[row]), pa.array(x[row]), pa.array(y[row]), *more], names=["leaf", "salt", "side_b", "id", "x", "y", *extra])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shipped.value
@@ -229,13 +246,23 @@ def near_pairs(points: DataFrame, radius: float, leaf_points: int = LEAF_POINTS)
                 dx, dy = qx[q] - bx[k], qy[q] - by[k]
                 near = dx * dx + dy * dy <= radius * radius
                 q, k = q[near], k[near]
+                if grouped:
+                    own = group.column(6).to_numpy()
+                    same = own[a_at[lo + q]] == own[b_at[k]]
+                    q, k = q[same], k[same]
+                    latest = np.full(len(qx), np.iinfo(np.int64).min)
+                    np.maximum.at(latest, q, ids[b_at[k]])
+                    q = np.unique(q)
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[a_at[lo + q]]), pa.array(latest[q])], names=["id_a", "id_b"])
+                    continue
                 here = t.leaf((qx[q] + bx[k]) / 2, (qy[q] + by[k]) / 2) == leaf[0]
                 q, k = q[here], k[here]
                 if len(q):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a_at[lo + q]]), pa.array(ids[b_at[k]])], names=["id_a", "id_b"])
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / (8 * leaf_points)))
-    spread = clean.mapInArrow(scatter, "leaf int, salt int, side_b boolean, id long, x double, y double")
+    spread = clean.mapInArrow(scatter, "leaf int, salt int, side_b boolean, id long, x double, y double" + ", group long" * grouped)
     return spread.repartition(parts, "leaf", "salt").sortWithinPartitions("leaf", "salt").mapInArrow(probe, "id_a long, id_b long")
 
 

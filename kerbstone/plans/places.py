@@ -100,11 +100,11 @@ def radius_positives_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One long recording by its samples: the share that comes back to a place."""
-    own = located(table(spark, sf_dir, "tracks")).where("sequence = 'market_row_main'").groupBy("ts").agg(F.min(F.struct("easting", "northing")).alias("p"))
-    points = global_number(own, [], ["ts"], "id").select("id", F.col("p.easting").alias("x"), F.col("p.northing").alias("y"))
+    """Of every recording, by its samples, the share that comes back to a place."""
+    own = located(table(spark, sf_dir, "tracks")).groupBy("sequence", "ts").agg(F.min(F.struct("easting", "northing")).alias("p"))
+    points = global_number(own, [], ["sequence", "ts"], "n").select("sequence", "n", F.col("p.easting").alias("x"), F.col("p.northing").alias("y"))
     got = gt.revisit_fraction(materialise(points, "points"), 2.0)
-    return got.select("frames", F.round("revisits", 6).alias("revisits"))
+    return got.select("sequence", "frames", F.round("revisits", 6).alias("revisits"))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -130,8 +130,8 @@ def interval_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_positives_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference, query, loops, singles = _events(spark, sf_dir)
     mapped = gt.map_correspondences(loops, reference, query, 10**12, strict=False)
-    got = gt.inherited_positives(mapped.join(loops.select("loop", "query_ts"), "loop"), singles, query)
-    return got.groupBy("q").agg(F.count("*").alias("n"), F.min("d").alias("first_d"), F.max("d").alias("last_d"))
+    got = gt.inherited_intervals(mapped.join(loops.select("loop", "query_ts"), "loop"), singles, query)
+    return got.groupBy("q").agg(F.sum(F.col("b") - F.col("a") + 1).alias("n"), F.min("a").alias("first_d"), F.max("b").alias("last_d"))
 
 
 def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,9 +269,10 @@ SELECT sequence, idx, CASE WHEN delta <= 1000000000 THEN CAST(sample_ts AS VARCH
     "radius_positives_3d": """WITH e AS (SELECT event_id AS id, event_type, user_id * 10.0::DOUBLE AS x, value AS y, CAST(event_id % 100 AS DOUBLE) AS z FROM events)
 SELECT a.id AS q, b.id AS d, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 6) AS distance FROM e a JOIN e b ON b.x BETWEEN a.x - 12.5 AND a.x + 12.5 AND b.y BETWEEN a.y - 12.5 AND a.y + 12.5
 WHERE a.event_type = 'purchase' AND b.event_type = 'signup' AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 12.5::DOUBLE ** 2""",
-    "revisits": f"""WITH o AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS id, p.e AS x, p.n AS y FROM (SELECT ts, min({{'e': easting, 'n': northing}}) AS p FROM tracks WHERE sequence = 'market_row_main' AND {_LOCATED} GROUP BY ts)),
-h AS (SELECT DISTINCT a.id FROM o a JOIN o b ON b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 2 AND a.y + 2 WHERE b.id >= a.id + 200 AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 4)
-SELECT (SELECT count(*) FROM o) AS frames, round((SELECT count(*) FROM h) / (SELECT count(*) FROM o), 6) AS revisits""",
+    "revisits": f"""WITH o AS (SELECT sequence, row_number() OVER (PARTITION BY sequence ORDER BY ts) - 1 AS id, p.e AS x, p.n AS y FROM (SELECT sequence, ts, min({{'e': easting, 'n': northing}}) AS p FROM tracks WHERE {_LOCATED} GROUP BY sequence, ts)),
+h AS (SELECT DISTINCT a.sequence, a.id FROM o a JOIN o b ON a.sequence = b.sequence AND b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 2 AND a.y + 2 WHERE b.id >= a.id + 200 AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 4),
+n AS (SELECT sequence, count(*) AS frames FROM o GROUP BY sequence), k AS (SELECT sequence, count(*) AS hits FROM h GROUP BY sequence)
+SELECT sequence, frames, round(CASE WHEN frames > 200 THEN coalesce(hits, 0) / frames ELSE 0 END, 6) AS revisits FROM n LEFT JOIN k USING (sequence)""",
     "correspondence_map": f"WITH {_EVENTS} SELECT loop, query_index, start_index, end_index FROM m",
     "interval_positives": f"WITH {_EVENTS} SELECT DISTINCT query_index AS q, unnest(generate_series(least(start_index, end_index), greatest(start_index, end_index))) AS d FROM m WHERE start_index IS NOT NULL AND end_index IS NOT NULL",
     "interval_positives_inherited": f"""WITH {_EVENTS}, ks AS (SELECT DISTINCT query_ts AS t FROM m UNION SELECT ts FROM qy WHERE idx % 7 = 3),

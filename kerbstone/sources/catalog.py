@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbstone.functions.text import camera_stem
-from kerbstone.runtime import global_number
+from kerbstone.runtime import global_number, materialise
 
 
 def indexed_frames(frames: DataFrame, allowed: DataFrame | None = None, pattern: str | None = None) -> DataFrame:
@@ -32,8 +32,12 @@ def camera_frames(frames: DataFrame, cameras: Sequence[str]) -> DataFrame:
 
 
 def order_defects(frames: DataFrame) -> DataFrame:
-    """``sequence, frames, gaps, backwards``: frames (sequence, idx, ts) whose index doesn't follow the last, or whose stamp is earlier."""
-    w = Window.partitionBy("sequence").orderBy("idx")
-    seen = frames.withColumn("_idx", F.lag("idx").over(w)).withColumn("_ts", F.lag("ts").over(w))
+    """``sequence, frames, gaps, backwards``: frames (sequence, idx, ts) whose index doesn't follow the last, or whose stamp is earlier.
+
+    A frame meets the one before it by their numbers, so a long recording is no single task's work.
+    """
+    numbered = materialise(global_number(frames.select("sequence", "idx", "ts"), ["sequence"], ["idx"], "n"), "numbered")
+    before = numbered.select("sequence", (F.col("n") + 1).alias("n"), F.col("idx").alias("_idx"), F.col("ts").alias("_ts"))
+    seen = numbered.join(before, ["sequence", "n"], "left")
     gap = F.when(F.col("_idx").isNull(), F.col("idx") != 0).otherwise(F.col("idx") != F.col("_idx") + 1)
     return seen.groupBy("sequence").agg(F.count("*").alias("frames"), F.count_if(gap).alias("gaps"), F.count_if(F.coalesce(F.col("ts") < F.col("_ts"), F.lit(False))).alias("backwards"))

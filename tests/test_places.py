@@ -67,10 +67,13 @@ def test_radius(spark):
 
 
 def test_revisits(spark):
-    rows = [(i, float(i % 250) * 100, 0.0) for i in range(500)]
-    got = gt.revisit_fraction(spark.createDataFrame(rows, "id long, x double, y double")).first()
-    assert (got["frames"], got["revisits"]) == (500, 0.5)
-    assert gt.revisit_fraction(spark.createDataFrame(rows[:200], "id long, x double, y double")).first()["revisits"] == 0.0
+    rows = [("a", i, float(i % 250) * 100, 0.0) for i in range(500)] + [("b", 500 + i, float(i % 250) * 100, 0.0) for i in range(199)]
+    schema = "sequence string, n long, x double, y double"
+    got = {r["sequence"]: (r["frames"], r["revisits"]) for r in gt.revisit_fraction(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"a": (500, 0.5), "b": (199, 0.0)}
+    still = [("a", i, 1.0, 1.0) for i in range(3000)]
+    assert gt.revisit_fraction(spark.createDataFrame(still, schema)).first()["revisits"] == 2800 / 3000
+    assert gt.revisit_fraction(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_correspondences(spark):
