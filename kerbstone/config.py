@@ -13,6 +13,10 @@ from kerbstone.operators.incremental import POLICIES
 from kerbstone.operators.scene_graph import STRATEGIES
 
 
+#: How training, validation and test are kept from sharing ground truth.
+GUARDS = ("", "none", "ground_truth_overlap", "ground_truth_blocks")
+
+
 class ConfigError(ValueError):
     """Settings that can't be used; the message names the key."""
 
@@ -133,7 +137,8 @@ def settings_from(payload: dict[str, Any]) -> Settings:
     checks = [
         (0 < d.test_ratio < 1 and 0 <= d.validation_ratio < 1 and d.test_ratio + d.validation_ratio < 1, "test_ratio and validation_ratio must leave queries for training"),
         (d.reference_sequence != d.query_sequence, "the reference and the query sequence must differ"),
-        ((d.split_guard == "blocks") == bool(d.validation_centres), "split_guard: blocks and validation_centres go together"),
+        (d.split_guard in GUARDS, f"split_guard must be one of {', '.join(GUARDS[1:])} or empty"),
+        ((d.split_guard == "ground_truth_blocks") == bool(d.validation_centres), "split_guard ground_truth_blocks and validation_centres go together"),
         (d.gt_radius_m > 0, "gt_radius_m must be positive"),
         (d.split_fold_count == 0 or 3 <= d.split_fold_count and 0 <= d.split_fold < d.split_fold_count, "split_fold must be one of three folds or more"),
         (p.connection_strategy in STRATEGIES, f"connection_strategy must be one of {', '.join(STRATEGIES)}"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbstone.functions.geometry import is_valid_box
@@ -63,6 +63,14 @@ def defects(frames: DataFrame, files: DataFrame, dynamic: tuple[str, ...] = (*DY
     return out
 
 
+def examples(found: DataFrame, most: int = 5) -> DataFrame:
+    """``kind, n, places``: how often each defect occurs, and the first places of it."""
+    once = found.groupBy("kind", "place").agg(F.count("*").alias("n"))
+    first = once.withColumn("_k", F.row_number().over(Window.partitionBy("kind").orderBy("place"))).where(F.col("_k") <= most)
+    few = first.groupBy("kind").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    return once.groupBy("kind").agg(F.sum("n").alias("n")).join(few, "kind")
+
+
 def summary(frames: DataFrame, files: DataFrame) -> DataFrame:
     """One row: the defects by kind, frames, nodes and graphs without a node; accepted when there is no defect."""
     found = defects(frames, files).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in KINDS])
@@ -103,3 +111,4 @@ m AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT sequence, idx FROM frames))
 SELECT missing_text + missing_graph + dynamic_nodes + degenerate_boxes + dangling_edges + binding_errors = 0 AS accepted, frames, missing_text, missing_graph, dynamic_nodes, degenerate_boxes, dangling_edges, binding_errors,
   nodes, round(nodes / greatest(1, graphs), 2) AS nodes_per_graph, round(100.0::DOUBLE * empty_graphs / greatest(1, graphs), 2) AS empty_graphs_percent FROM m"""
 )
+DEFECTS_SQL = f"WITH s AS ({SUMMARY_SQL}) SELECT kind, n FROM (UNPIVOT s ON {', '.join(KINDS)} INTO NAME kind VALUE n) WHERE n > 0"

@@ -18,8 +18,14 @@ def _annotated(positives: DataFrame) -> DataFrame:
     return positives.select("q").distinct()
 
 
+def _check_ratios(test_ratio: float, validation_ratio: float) -> None:
+    if not (0 < test_ratio < 1 and 0 <= validation_ratio < 1):
+        raise ValueError("test_ratio must be between 0 and 1, validation_ratio at least 0 and under 1")
+
+
 def temporal_split(n: int, positives: DataFrame, test_ratio: float = 0.2, validation_ratio: float = 0.1) -> DataFrame:
     """``q, part``: annotated queries from the last ``test_ratio`` on are test, of the rest the last share validation."""
+    _check_ratios(test_ratio, validation_ratio)
     cut = int(n * (1 - test_ratio))
     known = _annotated(positives)
     rest = known.where(F.col("q") < cut)
@@ -65,6 +71,7 @@ def block_split(n: int, positives: DataFrame, test_ratio: float = 0.2, validatio
     Validation queries sharing a positive with test are excluded, then training queries sharing one with test or kept
     validation. Every query of a block leaves training.
     """
+    _check_ratios(test_ratio, validation_ratio)
     cut = int(n * (1 - test_ratio))
     known = _annotated(positives)
     before = global_rank(known.where(F.col("q") < cut), "q", "_k")
@@ -86,6 +93,7 @@ def geographic_split(positions: DataFrame, positives: DataFrame, test_ratio: flo
     """
     from kerbstone.operators.ground_truth import radius_positives
 
+    _check_ratios(test_ratio, validation_ratio)
     placed = positions.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
     n = placed.count()
     test_at = int(n * (1 - test_ratio))
@@ -137,3 +145,9 @@ def central_positives(positives: DataFrame, fraction: float = 0.5) -> DataFrame:
 def training_positives(positives: DataFrame, near: DataFrame) -> DataFrame:
     """Ground truth that is also near (q, d); queries left without any disappear."""
     return positives.select("q", "d").intersect(near.select("q", "d"))
+
+
+def same_group(positives: DataFrame, queries: DataFrame, database: DataFrame) -> DataFrame:
+    """``q, d``: positives whose query (q, group) and database item (d, group) are of one group, as of one camera; a null group is one as well."""
+    a, b = queries.select("q", F.col("group").alias("_a")), database.select("d", F.col("group").alias("_b"))
+    return positives.select("q", "d").join(a, "q").join(b, "d").where(F.col("_a").eqNullSafe(F.col("_b"))).select("q", "d")

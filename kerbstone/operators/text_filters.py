@@ -150,9 +150,15 @@ def word_answers(answers: DataFrame) -> DataFrame:
 def predictions_to_detections(rows: DataFrame) -> DataFrame:
     """Normalized boxes from pixel predictions (key, pos, bbox or polygon, text, confidence, width, height).
 
-    ``bbox`` is [x, y, w, h], ``polygon`` an array of points used where there is no bbox. Readings that mean
+    ``bbox`` is [x, y, w, h], ``polygon`` an array of points used where there is no bbox. ``box`` and ``score``, where there
+    are such columns, stand in for an absent bbox and confidence. Readings that mean
     no text, and boxes without area after clipping, are dropped; a null confidence counts as 1.
     """
+    for name, other in (("bbox", "box"), ("confidence", "score")):
+        if other in rows.columns:
+            rows = rows.withColumn(name, F.coalesce(name, other) if name in rows.columns else F.col(other))
+    if "confidence" not in rows.columns:
+        rows = rows.withColumn("confidence", F.lit(None).cast("double"))
     w, h = F.col("width").cast("double"), F.col("height").cast("double")
     part = lambda i: F.get("bbox", F.lit(i))
     a, b = from_pixels(part(0), part(1), part(2), part(3), w, h), from_polygon(F.filter("polygon", lambda p: F.size(p) >= 2), w, h)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from kerbstone.config import Settings
 from kerbstone.functions.geometry import Box, is_valid_box
 from kerbstone.functions.hashing import positives_digest, settings_fingerprint
-from kerbstone.operators import encoder, retrieval
+from kerbstone.operators import encoder, normalizer, parts, retrieval
 from kerbstone.operators import scene_graph as sg
 from kerbstone.operators import text_filters as tf
 from kerbstone.sources.writers import save_arrays, save_json
@@ -26,7 +26,7 @@ def prepare(files: DataFrame, frame_texts: DataFrame, settings: Settings) -> dic
     """``graphs`` (frame, nodes, edges) and ``vocabulary`` of annotation files and strings per frame.
 
     A frame is the stem of its file; of several graphs of a frame the one with the largest id counts, of several annotations
-    the largest ann_id. Strings without a score pass, as no segmenter may have run.
+    the largest ann_id. A string without a score fails the query, unless the filter of moving texts is off.
     """
     p = settings.preprocess
     graphs = sg.graph_files(files.select("file_id", "content"))
@@ -43,8 +43,7 @@ def prepare(files: DataFrame, frame_texts: DataFrame, settings: Settings) -> dic
     if not p.use_text_nodes:
         rows = rows.where(F.lit(False))
     rows = tf.drop_junk(rows, p.text_min_length, p.text_drop_numeric)
-    if p.dynamic_text_threshold is not None:
-        rows = rows.where(F.col("dynamic_score").isNull() | (F.col("dynamic_score") < p.dynamic_text_threshold))
+    rows = tf.drop_dynamic(rows, p.dynamic_text_threshold)
     if p.shuffle_text_seed is not None:
         rows = tf.shuffled_texts(rows, p.shuffle_text_seed)
     newest = rows.groupBy("frame_id").agg(F.max("ann_id").alias("ann_id"))
@@ -76,6 +75,77 @@ def evaluate(queries: DataFrame, database: DataFrame, positives: DataFrame, sett
     return nearest, retrieval.recall_at(nearest, positives, queries.select(F.col("id").alias("q")), cutoffs)
 
 
+def make_split(queries: DataFrame, positives: DataFrame, settings: Settings, folds: DataFrame | None = None) -> DataFrame:
+    """``q, part, excluded`` as the settings ask for it, of queries (q; for ``drive`` also x, y and, with folds, stem).
+
+    ``walk`` recordings are cut in time, guarded or in blocks by ``split_guard``; ``drive`` by the folds given, else by distance; ``ride``
+    by ``split_fold_count`` consecutive folds, else for evaluation alone. ValueError for a fold that the table of folds lacks.
+    """
+    d = settings.dataset
+    ratios = {"test_ratio": d.test_ratio, "validation_ratio": d.validation_ratio}
+    if d.adapter == "drive":
+        if folds is not None:
+            if folds.where(F.col("fold") == d.split_fold).isEmpty():
+                raise ValueError(f"no fold {d.split_fold}")
+            got = parts.fold_split(folds, d.split_fold, queries, positives)
+        else:
+            got = parts.geographic_split(queries, positives, **ratios, radius=d.gt_radius_m)
+    elif d.adapter == "ride":
+        got = parts.cross_validation_split(queries.count(), positives, d.split_fold_count, d.split_fold) if d.split_fold_count else parts.evaluation_split(positives)
+    elif d.split_guard == "ground_truth_blocks":
+        got = parts.block_split(queries.count(), positives, **ratios, centres=d.validation_centres)
+    else:
+        got = parts.temporal_split(queries.count(), positives, **ratios)
+        if d.split_guard == "ground_truth_overlap":
+            got = parts.guard_ground_truth(got, positives)
+    return got if "excluded" in got.columns else got.withColumn("excluded", F.lit(False))
+
+
+def fold_gap_us(settings: Settings) -> int:
+    """How far another camera's frame may be, in µs, from the frame whose fold it takes."""
+    return int(settings.dataset.camera_fold_max_gap_s * 1_000_000)
+
+
+def training_positives(positives: DataFrame, settings: Settings, near: DataFrame | None = None, groups: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(positives, ignored) of training pairs (q, d): near ones (q, d), or the middle of the interval, or all; where ``same_camera_triplets``
+    is set, only those of the query's own camera. What is ground truth but no positive is ignored, never a negative.
+
+    ``groups`` are the cameras of queries (q, group) and of the database (d, group).
+    """
+    t = settings.training
+    chosen = positives.select("q", "d")
+    if t.positive_interval_fraction > 0:
+        chosen = parts.central_positives(positives, t.positive_interval_fraction)
+    elif t.positive_max_distance_m > 0:
+        if near is None:
+            raise ValueError("positive_max_distance_m needs the pairs that are near")
+        chosen = parts.training_positives(positives, near)
+    if t.same_camera_triplets:
+        if groups is None:
+            raise ValueError("same_camera_triplets needs the cameras of both sides")
+        chosen = parts.same_group(chosen, *groups)
+    return chosen, positives.select("q", "d").exceptAll(chosen)
+
+
+def mine_negatives(queries: DataFrame, database: DataFrame, positives: DataFrame, settings: Settings, exclusions: DataFrame | None = None) -> DataFrame:
+    """``q, slot, d`` by the settings' miner; within the query's own group (id, v, group) where ``same_camera_triplets`` is set."""
+    t = settings.training
+    if t.miner != "hard_negative":
+        return retrieval.random_negatives(queries, database.count(), positives, t.negatives_per_query, settings.seed, exclusions)
+    mine = retrieval.grouped_negatives if t.same_camera_triplets else retrieval.hard_negatives
+    return mine(queries, database, positives, t.negatives_per_query, t.hard_search_depth, settings.seed, exclusions)
+
+
+def fit_normalizer(edges: DataFrame, frames: DataFrame, settings: Settings, column: str = "features", log_columns: Sequence[int] = ()) -> DataFrame:
+    """Statistics of the edges (frame, is_text, features) of the frames (frame) that training sees: the database and training queries.
+
+    With additive fusion edges of strings never reach the encoder, so they don't count.
+    """
+    own = edges.join(frames.select("frame").distinct(), "frame", "left_semi")
+    own = own.where(~F.col("is_text")) if settings.model.text_fusion == "additive" else own
+    return normalizer.fit(own, column, log_columns)
+
+
 def transfer_problems(source: Mapping[str, Any], target: Mapping[str, Any], shape: encoder.Shape) -> list[str]:
     """Why a model trained on ``source`` can't describe ``target``; empty if it can. Both are manifests."""
     keys = ("node_class_to_idx", "edge_label_to_idx", "text_encoder", "text_dim", "connection_strategy", "connection_k")
@@ -104,13 +174,13 @@ def validate(settings: Settings, frames: DataFrame) -> dict[str, int]:
     return found
 
 
-def split_document(parts: DataFrame, positives: DataFrame, settings: Settings) -> dict[str, Any]:
+def split_document(split: DataFrame, positives: DataFrame, settings: Settings) -> dict[str, Any]:
     """The split as one document: positives, queries per part, those excluded, and how it was made.
 
-    ``parts`` has q, part and perhaps excluded. The document holds every query and is meant for a benchmark, not for a corpus.
+    ``split`` has q, part and perhaps excluded. The document holds every query and is meant for a benchmark, not for a corpus.
     ValueError if training or test is empty.
     """
-    rows = parts.withColumn("excluded", F.col("excluded") if "excluded" in parts.columns else F.lit(False)).orderBy("q").collect()
+    rows = split.withColumn("excluded", F.col("excluded") if "excluded" in split.columns else F.lit(False)).orderBy("q").collect()
     of = lambda p, out: [r["q"] for r in rows if r["part"] == p and r["excluded"] == out]
     truth = {r["q"]: sorted(r["d"]) for r in positives.groupBy("q").agg(F.collect_set("d").alias("d")).collect()}
     d = settings.dataset

@@ -379,5 +379,6 @@ hit AS (SELECT frame, string, count(*) AS h FROM px WHERE EXISTS (SELECT 1 FROM
 SELECT sb.frame, sb.string, round(coalesce(h / ((c - a) * (d - b)), 0), 6) AS score FROM sb LEFT JOIN hit USING (frame, string)""",
     "coverage_diff": checks.COVERAGE_SQL,
     "acceptance_summary": checks.SUMMARY_SQL % {"graph": _GRAPH},
+    "acceptance_defects": checks.DEFECTS_SQL % {"graph": _GRAPH},
 }
 SQL["edge_normalized"] = SQL["edge_normalized"].replace("stddev_samp(f9) AS d9)", "stddev_samp(f9) AS d9 FROM feat)")

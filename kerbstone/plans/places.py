@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbstone.config import settings_from
 from kerbstone.functions.text import camera_stem, seconds_to_ns, stem_camera, stem_index, stem_stamp
 from kerbstone.operators import ground_truth as gt
 from kerbstone.operators import parts
 from kerbstone.operators.spatial import located
+from kerbstone.pipeline import fold_gap_us, make_split
+from kerbstone.pipeline import training_positives as pipeline_positives
 from kerbstone.runtime import global_number, materialise, table
 from kerbstone.sources import catalog
 
@@ -144,7 +147,7 @@ def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fold_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = _frames(spark, sf_dir).where("adapter = 'ride'").select("stem", F.expr("try_cast(stem AS BIGINT) DIV 1000").alias("ts")).distinct()
-    return gt.extend_folds(_folds(spark, sf_dir), other, 300_000_000)
+    return gt.extend_folds(_folds(spark, sf_dir), other, fold_gap_us(settings_from({"dataset": {"camera_fold_max_gap_s": 300.0}})))
 
 
 def fold_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,6 +201,21 @@ def central_positives(q: DataFrame, positives: DataFrame) -> DataFrame:
     return parts.central_positives(positives, 0.5)
 
 
+@_split
+def split_by_settings(q: DataFrame, positives: DataFrame) -> DataFrame:
+    """The split that a file of settings asks for."""
+    return make_split(q.select(F.col("id").alias("q")), positives, settings_from({"dataset": {"split_guard": "ground_truth_blocks", "validation_ratio": 0.2, "validation_centres": [0.3, 0.7]}}))
+
+
+def same_camera_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positives whose frames are of one adapter, as settings with same_camera_triplets ask for."""
+    q, d, positives = _truth(spark, sf_dir)
+    cameras = _frames(spark, sf_dir).where("adapter IS NOT NULL").groupBy("sequence").agg(F.min("adapter").alias("group"))
+    of = lambda df, key: df.join(cameras, "sequence", "left").select(F.col("id").alias(key), "group")
+    got, _ = pipeline_positives(positives, settings_from({"training": {"same_camera_triplets": True}}), groups=(of(q, "q"), of(d, "d")))
+    return got
+
+
 def training_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, d, positives = _truth(spark, sf_dir)
     return parts.training_positives(positives, gt.radius_positives(q, d, 10.0))
@@ -220,7 +238,7 @@ QUERIES = {
         frame_catalog, catalog_defects, camera_union, frame_names, track_log, timestamp_ns_parse, asof_nearest_sample, frame_positions, frames_without_position,
         radius_positives_2d, radius_positives_3d, revisits, correspondence_map, interval_positives, interval_positives_inherited, fold_extension, fold_split,
         temporal_split, ground_truth_guard, block_split, geographic_split, kfold_split, evaluation_split, central_positives, training_positives,
-        negative_exclusions, queries_without_positives,
+        negative_exclusions, queries_without_positives, split_by_settings, same_camera_positives,
     )
 }
 
@@ -308,3 +326,5 @@ SELECT q, d FROM c WHERE k >= (n - c) // 2 AND k < (n - c) // 2 + c""",
     "negative_exclusions": f"WITH {_TRUTH} SELECT q, d FROM near WHERE distance <= 60 AND distance > 25",
     "queries_without_positives": f"WITH {_TRUTH} SELECT sequence, count(*) AS queries FROM q WHERE id NOT IN (SELECT q FROM known) GROUP BY sequence",
 }
+SQL["split_by_settings"] = SQL["block_split"]
+SQL["same_camera_positives"] = f"WITH {_TRUTH}, c AS (SELECT sequence, min(adapter) AS g FROM frames WHERE adapter IS NOT NULL GROUP BY sequence) SELECT p.q, p.d FROM pos25 p JOIN q ON q.id = p.q JOIN d ON d.id = p.d LEFT JOIN c a ON a.sequence = q.sequence LEFT JOIN c b ON b.sequence = d.sequence WHERE a.g IS NOT DISTINCT FROM b.g"

@@ -132,6 +132,8 @@ def test_predictions(spark):
     assert sorted(got) == [0, 1]
     assert (got[0]["x1"], got[0]["x2"], got[0]["text"], got[0]["confidence"]) == (pytest.approx(0.1), pytest.approx(0.3), "OPEN", 1.0)
     assert got[1]["y2"] == pytest.approx(0.1)
+    other = spark.createDataFrame([(1, 0, [64.0, 32.0, 128.0, 32.0], "OPEN", 0.25)], "key int, pos int, box array<double>, text string, score double").select("*", F.lit(640).alias("width"), F.lit(320).alias("height"), F.lit(None).cast("array<array<double>>").alias("polygon"))
+    assert [(r["x1"], r["confidence"]) for r in tf.predictions_to_detections(other).collect()] == [(pytest.approx(0.1), 0.25)]
 
 
 def files(spark, *docs):

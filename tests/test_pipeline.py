@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbstone import config, pipeline, streaming
+from kerbstone.config import ConfigError, settings_from
 from kerbstone.functions import hashing
+from kerbstone.operators.checks import examples
 from kerbstone.operators.encoder import Encoder, Shape, encode_frames, random_weights
 from kerbstone.registry import Registry, default_registry
 from kerbstone.sources import catalog, readers, writers
@@ -88,13 +90,15 @@ def test_attention_against_one_edge_at_a_time():
 
 def test_prepare_and_describe(spark, small):
     files, texts = (spark.read.parquet(f"{small}/{t}.parquet").limit(60) for t in ("annotation_files", "frame_texts"))
-    s = config.settings_from({"model": {"hidden_dim": 8, "proj_dim": 7, "heads": 2}, "preprocess": {"text_dim": 16, "dynamic_node_classes": ["Car"]}})
+    s = config.settings_from({"model": {"hidden_dim": 8, "proj_dim": 7, "heads": 2}, "preprocess": {"text_dim": 16, "dynamic_node_classes": ["Car"], "dynamic_text_threshold": None}})
+    with pytest.raises(Exception, match="no dynamic score"):
+        pipeline.prepare(files, texts, config.settings_from({}))["graphs"].collect()
     done = pipeline.prepare(files, texts, s)
     shape = pipeline.shape_of(done["vocabulary"], s)
     got = encode_frames(done["graphs"], shape, random_weights(shape)).collect()
     assert len(got) == done["graphs"].count() == len({r["frame"] for r in got}) > 20
     assert all(np.linalg.norm(r["v"]) == pytest.approx(1) for r in got)
-    off = config.settings_from({"model": {"hidden_dim": 8, "proj_dim": 7, "heads": 2}, "preprocess": {"use_text_nodes": False}})
+    off = config.settings_from({"model": {"hidden_dim": 8, "proj_dim": 7, "heads": 2}, "preprocess": {"use_text_nodes": False, "dynamic_text_threshold": None}})
     assert pipeline.prepare(files, texts, off)["graphs"].where(F.exists("nodes", lambda n: n["is_text"])).count() == 0
 
 
@@ -161,7 +165,7 @@ def test_small_driver_functions():
     "bad",
     [
         {"unknown": 1}, {"dataset": {"radius": 1}}, {"dataset": {"test_ratio": "0.2"}}, {"training": {"negatives_per_query": True}}, {"dataset": {"test_ratio": 0.6, "validation_ratio": 0.5}},
-        {"dataset": {"query_sequence": "seq1"}}, {"dataset": {"split_guard": "blocks"}}, {"training": {"recall_values": [5, 1]}}, {"preprocess": {"connection_strategy": "x"}}, {"retrieval": {"backend": "x"}},
+        {"dataset": {"query_sequence": "seq1"}}, {"dataset": {"split_guard": "ground_truth_blocks"}}, {"training": {"recall_values": [5, 1]}}, {"preprocess": {"connection_strategy": "x"}}, {"retrieval": {"backend": "x"}},
         {"dataset": {"gt_radius_m": float("inf")}}, {"dataset": {"split_fold_count": 4}}, {"training": {"positive_max_distance_m": 1, "positive_interval_fraction": 0.5}}, {"cache_policy": "x"}, {"dataset": []},
     ],
 )
@@ -314,3 +318,59 @@ def test_every_sql_belongs_to_a_query():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def split_of(spark, payload, folds=None, n=20):
+    q = spark.createDataFrame([(i, float(i * 100), 0.0, f"{i}") for i in range(n)], "q long, x double, y double, stem string")
+    truth = spark.createDataFrame([(i, i // 2) for i in range(n)], "q long, d long")
+    got = pipeline.make_split(q, truth, settings_from({"dataset": payload}), folds)
+    return {r["q"]: (r["part"], r["excluded"]) for r in got.collect()}
+
+
+def test_split_by_settings(spark):
+    plain = split_of(spark, {"adapter": "walk"})
+    assert [p for _, (p, _) in sorted(plain.items())] == ["train"] * 15 + ["validation"] + ["test"] * 4 and not any(x for _, x in plain.values())
+    guarded = split_of(spark, {"adapter": "walk", "split_guard": "ground_truth_overlap"})
+    assert {q for q, (_, out) in guarded.items() if out} == {15} and {q: p for q, (p, _) in guarded.items()} == {q: p for q, (p, _) in plain.items()}
+    blocks = split_of(spark, {"adapter": "walk", "split_guard": "ground_truth_blocks", "validation_ratio": 0.25, "validation_centres": [0.3, 0.7]})
+    assert sum(p == "validation" for p, _ in blocks.values()) == 4
+    assert sum(p == "test" for p, _ in split_of(spark, {"adapter": "drive", "gt_radius_m": 50.0}).values()) == 4
+    ride = split_of(spark, {"adapter": "ride", "split_fold": 1, "split_fold_count": 4})
+    assert [q for q, (p, _) in sorted(ride.items()) if p == "test"] == [5, 6, 7, 8, 9]
+    assert {p for p, _ in split_of(spark, {"adapter": "ride"}).values()} == {"test"}
+    folds = spark.createDataFrame([(0, "test", "1"), (0, "train", "2"), (1, "test", "3")], "fold int, part string, stem string")
+    assert split_of(spark, {"adapter": "drive", "split_fold": 0}, folds) == {1: ("test", False), 2: ("train", False)}
+    with pytest.raises(ValueError, match="fold"):
+        split_of(spark, {"adapter": "drive", "split_fold": 7}, folds)
+    with pytest.raises(ConfigError):
+        settings_from({"dataset": {"split_guard": "blocks"}})
+    assert pipeline.fold_gap_us(settings_from({})) == 300_000
+
+
+def test_training_positives_by_settings(spark):
+    truth = spark.createDataFrame([(0, d) for d in range(8)] + [(1, 3), (1, 4)], "q long, d long")
+    sides = (spark.createDataFrame([(0, "front"), (1, None)], "q long, group string"), spark.createDataFrame([(d, "front" if d % 2 else "left") for d in range(8)], "d long, group string"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    kept, ignored = pipeline.training_positives(truth, settings_from({"training": {"positive_interval_fraction": 0.5, "same_camera_triplets": True}}), groups=sides)
+    assert rows(kept) == [(0, 3), (0, 5)]
+    assert rows(ignored) == sorted(set(map(tuple, truth.collect())) - {(0, 3), (0, 5)})
+    assert rows(pipeline.training_positives(truth, settings_from({}))[0]) == rows(truth)
+    near = settings_from({"training": {"positive_max_distance_m": 5.0}})
+    assert rows(pipeline.training_positives(truth, near, truth.where("d = 3"))[0]) == [(0, 3), (1, 3)]
+    with pytest.raises(ValueError):
+        pipeline.training_positives(truth, near)
+    with pytest.raises(ValueError):
+        pipeline.training_positives(truth, settings_from({"training": {"same_camera_triplets": True}}))
+
+
+def test_normalizer_sees_training_only(spark):
+    edges = spark.createDataFrame([("a", False, [1.0]), ("a", True, [5.0]), ("b", False, [3.0]), ("c", False, [100.0])], "frame string, is_text boolean, features array<double>")
+    frames = spark.createDataFrame([("a",), ("b",), ("b",)], "frame string")
+    mean = lambda fusion: pipeline.fit_normalizer(edges, frames, settings_from({"model": {"text_fusion": fusion}})).first()["mean"]
+    assert (mean("set"), mean("additive")) == (3.0, 2.0)
+
+
+def test_first_examples_of_defects(spark):
+    found = spark.createDataFrame([("a", f"f{i:02d}") for i in range(9)] + [("a", "f00"), ("b", "x")], "kind string, place string")
+    got = {r["kind"]: (r["n"], r["places"]) for r in examples(found).collect()}
+    assert got == {"a": (10, ["f00", "f01", "f02", "f03", "f04"]), "b": (1, ["x"])}
