@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbstone.operators.asof import interpolate, nearest
-from kerbstone.operators.spatial import latest_nearby, located, near_pairs
+from kerbstone.operators.spatial import latest_nearby, located, near_distances
 
 #: The metric radius, and the frames that must lie between two visits of a place.
 RADIUS_M, REVISIT_SPAN = 25.0, 200
@@ -33,21 +33,16 @@ def frame_positions(frames: DataFrame, tracks: DataFrame) -> DataFrame:
 def radius_positives(queries: DataFrame, database: DataFrame, radius: float = RADIUS_M, dims: int = 2) -> DataFrame:
     """``q, d, distance``: pairs at most ``radius`` apart, in as many of x, y, z as ``dims`` says (0: all three).
 
-    Both sides have ``id, x, y`` and, for three dimensions, ``z``. Rows without a position have no positives.
+    Both sides have ``id, x, y`` and, for three dimensions, ``z``; an id appears once. Rows without a position have no positives. Distances come
+    from where the pairs are found, so pairs are not shuffled.
     """
     if radius <= 0:
         raise ValueError("the radius must be positive")
-    three = dims in (0, 3)
-    flat = F.lit(0.0)
-    keep = ["x", "y", "z"] if three else ["x", "y"]
-    y = flat if dims == 1 else F.col("y")
-    side = lambda df, b: df.select("id", "x", y.alias("y"), F.lit(b).alias("side_b"))
-    pairs = near_pairs(side(queries, False).unionByName(side(database, True)), radius)
-    lookup = lambda df, k, lead: df.select(F.col("id").alias(k), *[F.col(c).alias(lead + c) for c in keep])
-    both = pairs.join(lookup(queries, "id_a", "a_"), "id_a").join(lookup(database, "id_b", "b_"), "id_b")
-    used = keep if three else keep[: max(1, dims)]
-    total = sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in used), F.lit(0.0))
-    return both.withColumn("distance", F.sqrt(total)).where(F.col("distance") <= radius).select(F.col("id_a").alias("q"), F.col("id_b").alias("d"), "distance").distinct()
+    zero = F.lit(0.0)
+    y, z = zero if dims == 1 else F.col("y"), F.col("z").cast("double") if dims in (0, 3) else zero
+    side = lambda df, b: df.select("id", "x", y.alias("y"), F.lit(b).alias("side_b"), z.alias("z"))
+    pairs = near_distances(side(queries, False).unionByName(side(database, True)), radius)
+    return pairs.select(F.col("id_a").alias("q"), F.col("id_b").alias("d"), "distance")
 
 
 def revisit_fraction(positions: DataFrame, radius: float = RADIUS_M, span: int = REVISIT_SPAN) -> DataFrame:

@@ -41,12 +41,12 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return best
 
 
-def top_k(queries: DataFrame, database: DataFrame, k: int) -> DataFrame:
+def top_k(queries: DataFrame, database: DataFrame, k: int, apart: bool = False) -> DataFrame:
     """``q, rank, d, score``: the k database vectors most similar to each query vector, ranks from 1.
 
     Both sides have ``id, v``; rows with a null id or vector take no part, vectors of another width are an error. Both sides are
     cut into blocks of bounded size by hash, a task multiplies a block of queries with one of the database and keeps k per query, and the
-    partial lists are merged. No vector passes through the driver.
+    partial lists are merged. No vector passes through the driver. ``apart``: both sides are of one table, and no row answers itself.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -74,11 +74,14 @@ def top_k(queries: DataFrame, database: DataFrame, k: int) -> DataFrame:
         step = max(1, SCORES // len(names))
         for at in range(0, len(ids), step):
             score = m[at : at + step] @ to
+            if apart:
+                score[names == ids[at : at + step, None]] = -np.inf
             best = _best(score, k)
             parts.append(pa.table([np.repeat(ids[at : at + step], best.shape[1]), names[best].ravel(), np.take_along_axis(score, best, 1).ravel()], schema=schema))
         return pa.concat_tables(parts)
 
     found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(search, "q long, d long, score double")
+    found = found.where("q <> d") if apart else found
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d")))
     return ranked.where(F.col("rank") <= k).select("q", "rank", "d", "score")
 

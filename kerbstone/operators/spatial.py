@@ -202,9 +202,14 @@ def near_pairs(points: DataFrame, radius: float, leaf_points: int = LEAF_POINTS)
     return _near(points, radius, leaf_points)
 
 
-def _near(points: DataFrame, radius: float, leaf_points: int, grouped: bool = False) -> DataFrame:
-    """``near_pairs``; ``grouped``, of each point and leaf the pair with the largest ``id_b`` of the same group."""
-    extra = ["group"] if grouped else []
+def near_distances(points: DataFrame, radius: float, leaf_points: int = LEAF_POINTS) -> DataFrame:
+    """``id_a, id_b, distance``: as ``near_pairs``, of points with a height ``z`` too; one without takes no part."""
+    return _near(points.where("z IS NOT NULL AND NOT isnan(z)"), radius, leaf_points, height=True)
+
+
+def _near(points: DataFrame, radius: float, leaf_points: int, grouped: bool = False, height: bool = False) -> DataFrame:
+    """``near_pairs``; ``grouped``, of each point and leaf the pair with the largest ``id_b`` of the same group; with ``height`` distances."""
+    extra = ["group"] if grouped else ["z"] if height else []
     clean = points.select("id", "x", "y", "side_b", *extra).where("id IS NOT NULL AND side_b IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").where("x IS NOT NULL AND y IS NOT NULL")
     tree, rows = sampled_quadtree(clean, radius, leaf_points=leaf_points)
     spark = points.sparkSession
@@ -226,7 +231,7 @@ def _near(points: DataFrame, radius: float, leaf_points: int, grouped: bool = Fa
                 salt = np.where(b[row], each * kb + mine, mine * kb + each)
             else:
                 salt = np.zeros(len(row), np.int64)
-            more = [batch.column(4).take(pa.array(row))] if grouped else []
+            more = [batch.column(4).take(pa.array(row))] if extra else []
             yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(b[row]), pa.array(ids[row]), pa.array(x[row]), pa.array(y[row]), *more], names=["leaf", "salt", "side_b", "id", "x", "y", *extra])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,12 +263,19 @@ def _near(points: DataFrame, radius: float, leaf_points: int, grouped: bool = Fa
                     continue
                 here = t.leaf((qx[q] + bx[k]) / 2, (qy[q] + by[k]) / 2) == leaf[0]
                 q, k = q[here], k[here]
+                if height:
+                    z = group.column(6).to_numpy()
+                    distance = np.sqrt((qx[q] - bx[k]) ** 2 + (qy[q] - by[k]) ** 2 + (z[a_at[lo + q]] - z[b_at[k]]) ** 2)
+                    close = distance <= radius
+                    if close.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[a_at[lo + q[close]]]), pa.array(ids[b_at[k[close]]]), pa.array(distance[close])], names=["id_a", "id_b", "distance"])
+                    continue
                 if len(q):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a_at[lo + q]]), pa.array(ids[b_at[k]])], names=["id_a", "id_b"])
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / (8 * leaf_points)))
-    spread = clean.mapInArrow(scatter, "leaf int, salt int, side_b boolean, id long, x double, y double" + ", group long" * grouped)
-    return spread.repartition(parts, "leaf", "salt").sortWithinPartitions("leaf", "salt").mapInArrow(probe, "id_a long, id_b long")
+    spread = clean.mapInArrow(scatter, "leaf int, salt int, side_b boolean, id long, x double, y double" + ", group long" * grouped + ", z double" * height)
+    return spread.repartition(parts, "leaf", "salt").sortWithinPartitions("leaf", "salt").mapInArrow(probe, "id_a long, id_b long" + ", distance double" * height)
 
 
 def in_polygon(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:

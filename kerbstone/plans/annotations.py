@@ -12,7 +12,7 @@ from kerbstone.functions.vectors import is_vector
 from kerbstone.operators import checks, normalizer
 from kerbstone.operators import scene_graph as sg
 from kerbstone.operators import text_filters as tf
-from kerbstone.runtime import table
+from kerbstone.runtime import materialise, table
 
 
 def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,21 +20,23 @@ def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sg.graph_files(table(spark, sf_dir, "annotation_files").select("file_id", "content"))
+    """The graphs, parsed once however many branches of a query read them."""
+    return materialise(sg.graph_files(table(spark, sf_dir, "annotation_files").select("file_id", "content")), "graphs")
 
 
-def _scene(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    graphs = _graphs(spark, sf_dir)
+def _scene(spark: SparkSession, sf_dir: str, graphs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    graphs = _graphs(spark, sf_dir) if graphs is None else graphs
     nodes = sg.scene_nodes(sg.raw_nodes(graphs), tf.DYNAMIC_CLASSES)
     return nodes, sg.scene_edges(sg.raw_edges(graphs), nodes)
 
 
-def _frame_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _frame_graph(spark: SparkSession, sf_dir: str, graphs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and strings by frame: of a frame's graph files the one with the largest id."""
     files = table(spark, sf_dir, "annotation_files")
-    nodes, _ = _scene(spark, sf_dir)
+    graphs = _graphs(spark, sf_dir) if graphs is None else graphs
+    nodes, _ = _scene(spark, sf_dir, graphs)
     stem = F.regexp_replace(F.element_at(F.split(F.translate("file_path", "\\", "/"), "/"), -1), r"\.[^.]*$", "")
-    latest = files.join(_graphs(spark, sf_dir).select("file_id"), "file_id").groupBy(stem.alias("frame")).agg(F.max("file_id").alias("file_id"))
+    latest = files.join(graphs.select("file_id"), "file_id").groupBy(stem.alias("frame")).agg(F.max("file_id").alias("file_id"))
     by_frame = nodes.join(latest, "file_id").select("frame", "file_id", "node", "class_name", "x1", "y1", "x2", "y2")
     rows = tf.annotation_filter(_detections(spark, sf_dir).where(g.is_valid_box(F.col("box"))))
     first = rows.groupBy("frame_id").agg(F.max("ann_id").alias("ann_id"))
@@ -130,8 +132,8 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sg.vocabulary(sg.raw_nodes(graphs), sg.raw_edges(graphs), tf.DYNAMIC_CLASSES)
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _scene(spark, sf_dir)
+def _features(spark: SparkSession, sf_dir: str, graphs: DataFrame | None = None) -> DataFrame:
+    nodes, edges = _scene(spark, sf_dir, graphs)
     end = lambda name, lead: nodes.select("file_id", F.col("node").alias(name), *[F.col(c).alias(lead + c) for c in ("x1", "y1", "x2", "y2")])
     return edges.join(end("src", "a_"), ["file_id", "src"]).join(end("dst", "b_"), ["file_id", "dst"]).withColumn("features", g.edge_features(Box.named("a_"), Box.named("b_")))
 
@@ -173,9 +175,10 @@ def _attach(strategy: str):
 
 
 def fused_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, strings = _frame_graph(spark, sf_dir)
-    _, edges = _scene(spark, sf_dir)
-    names = vocabulary(spark, sf_dir)
+    graphs = _graphs(spark, sf_dir)
+    nodes, strings = _frame_graph(spark, sf_dir, graphs)
+    _, edges = _scene(spark, sf_dir, graphs)
+    names = sg.vocabulary(sg.raw_nodes(graphs), sg.raw_edges(graphs), tf.DYNAMIC_CLASSES)
     objects = sg.with_index(nodes, names, "node", "class_name", "class_idx")
     frame_of = nodes.select("file_id", "frame").distinct()
     scene = sg.with_index(edges.join(frame_of, "file_id"), names, "edge", "label", "label_idx")
@@ -185,9 +188,10 @@ def fused_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compatible_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _scene(spark, sf_dir)
-    frames = _graphs(spark, sf_dir).select(F.col("file_id").alias("frame"), F.lit("a").alias("fingerprint"), F.when(F.col("file_id") % 5 == 0, "b").otherwise("a").alias("expected"))
-    return sg.compatible_graphs(nodes.withColumnRenamed("file_id", "frame"), _features(spark, sf_dir).withColumnRenamed("file_id", "frame"), frames)
+    graphs = _graphs(spark, sf_dir)
+    nodes, edges = _scene(spark, sf_dir, graphs)
+    frames = graphs.select(F.col("file_id").alias("frame"), F.lit("a").alias("fingerprint"), F.when(F.col("file_id") % 5 == 0, "b").otherwise("a").alias("expected"))
+    return sg.compatible_graphs(nodes.withColumnRenamed("file_id", "frame"), _features(spark, sf_dir, graphs).withColumnRenamed("file_id", "frame"), frames)
 
 
 def edge_normalizer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,8 +206,9 @@ def edge_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pool_mean_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = Box.named()
-    nodes = _scene(spark, sf_dir)[0].select(F.col("file_id").alias("frame"), b.cx.alias("cx"), b.cy.alias("cy"))
-    got = sg.pooled(nodes, _graphs(spark, sf_dir).select(F.col("file_id").alias("frame")), ["cx", "cy"])
+    graphs = _graphs(spark, sf_dir)
+    nodes = _scene(spark, sf_dir, graphs)[0].select(F.col("file_id").alias("frame"), b.cx.alias("cx"), b.cy.alias("cy"))
+    got = sg.pooled(nodes, graphs.select(F.col("file_id").alias("frame")), ["cx", "cy"])
     return got.select("frame", *[F.round(c, 6).alias(c) for c in ("cx_mean", "cy_mean", "cx_max", "cy_max")])
 
 
@@ -233,19 +238,24 @@ def coverage_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.coverage(*_checked(spark, sf_dir)).where("NOT (has_text AND has_graph)")
 
 
-def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _described(spark: SparkSession, sf_dir: str, fusion: str) -> DataFrame:
     from kerbstone import pipeline
-    from kerbstone.config import Settings
+    from kerbstone.config import settings_from
     from kerbstone.operators.encoder import encode_frames, random_weights
 
-    done = pipeline.prepare(table(spark, sf_dir, "annotation_files"), table(spark, sf_dir, "frame_texts"), Settings())
-    shape = pipeline.shape_of(done["vocabulary"], Settings())
+    s = settings_from({"preprocess": {"dynamic_text_threshold": None}, "model": {"text_fusion": fusion}})
+    done = pipeline.prepare(table(spark, sf_dir, "annotation_files"), table(spark, sf_dir, "frame_texts"), s)
+    shape = pipeline.shape_of(done["vocabulary"], s)
     return encode_frames(done["graphs"], shape, random_weights(shape))
 
 
-def frame_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A descriptor per frame by an untrained encoder: its length and first values."""
-    return _described(spark, sf_dir).select("frame", F.size("v").alias("width"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm2"), F.round(F.get("v", F.lit(0)), 6).alias("v0"), F.round(F.get("v", F.lit(255)), 6).alias("v255"))
+def _descriptors(name: str, fusion: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """A descriptor per frame by an untrained encoder: its length and first values."""
+        return _described(spark, sf_dir, fusion).select("frame", F.size("v").alias("width"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm2"), F.round(F.get("v", F.lit(0)), 6).alias("v0"), F.round(F.get("v", F.lit(255)), 6).alias("v255"))
+
+    query.__name__ = name
+    return query
 
 
 def mask_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +278,7 @@ QUERIES = {
         junk_text_filter, dynamic_text_filter, annotation_time_filter, text_switched_off, detection_boxes, pixel_boxes, frame_text_documents, recognizer_answers,
         pixel_predictions, dynamic_classes, scene_nodes, scene_edges, dropped_edges, vocabulary, edge_features, box_iou_pairs, relation_labels, neighbour_graph,
         neighbour_documents, *map(_attach, sg.STRATEGIES), fused_graph_edges, compatible_graphs, edge_normalizer_stats, edge_normalized, pool_mean_max, char_ngrams,
-        string_shuffle_control, acceptance_summary, acceptance_defects, coverage_diff, frame_descriptors, mask_coverage,
+        string_shuffle_control, acceptance_summary, acceptance_defects, coverage_diff, _descriptors("frame_descriptors", "set"), _descriptors("frame_descriptors_node", "node"), _descriptors("frame_descriptors_additive", "additive"), mask_coverage,
     )
 }
 

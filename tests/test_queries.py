@@ -13,7 +13,16 @@ def test_query_equals_its_sql(spark, module, name):
     same(spark, module, name, "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", ["p1_bins", "p5_attributes", "acceptance_defects", "random_negatives"])
-def test_query_without_sql_has_rows(spark, name):
-    query = {**training_data.QUERIES, **annotations.QUERIES, **retrieval.QUERIES}[name]
-    assert query(spark, "/root/testdata/sf0.001").count() > 0
+#: Operators with buckets, leaves, grids or blocks, which sf0.001 hardly fills.
+LARGER = ("p1_found", "p2_found", "p5_found", "catalog_defects", "interval_positives_inherited", "radius_positives_2d", "revisits", "vector_topk_cosine", "hard_negatives_by_group", "random_negatives")
+
+
+@pytest.mark.parametrize(("module", "name"), [c for c in CASES if c[1] in LARGER], ids=[n for _, n in CASES if n in LARGER])
+def test_larger_tables(spark, small, module, name):
+    same(spark, module, name, small)
+
+
+@pytest.mark.parametrize("name", ["frame_descriptors", "frame_descriptors_node", "frame_descriptors_additive"])
+def test_descriptors_have_unit_length(spark, name):
+    rows = annotations.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) > 20 and {round(r["norm2"], 4) for r in rows} == {1.0} and {r["width"] for r in rows} == {256}
