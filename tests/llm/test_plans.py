@@ -7,8 +7,9 @@ from tests.compare import same
 
 
 @pytest.mark.parametrize("name", list(plans.SQL))
-def test_query_equals_its_sql(spark, name):
-    same(spark, plans, name, "/root/testdata/sf0.001")
+def test_query_equals_its_sql(spark, small, name):
+    # sf0.001 has no record that stands alone, so that no split of whole groups need meet the quotas
+    same(spark, plans, name, small if name == "p4_quotas" else "/root/testdata/sf0.001")
 
 
 @pytest.mark.parametrize("name", [n for n in plans.QUERIES if n not in plans.SQL])
