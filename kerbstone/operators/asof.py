@@ -36,16 +36,17 @@ def around(probes: DataFrame, samples: DataFrame, by: str, ts: str, payload: lis
     # the nearest records outside each bucket
     ends = one.groupBy("_by", "_b").agg(F.max(F.struct("_ts", "_hi", "_lo")).alias("_last"), F.min(F.struct("_ts", "_hi", "_lo")).alias("_first"))
     wanted = asked.where("_by IS NOT NULL AND _ts IS NOT NULL").select("_by", "_b").distinct().join(ends, ["_by", "_b"], "full")
-    along = Window.partitionBy("_by").orderBy("_b")
-    outside = wanted.select("_by", "_b", F.last("_last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_p"), F.first("_first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_n"))
+    # what follows is looked up in falling order: a frame to the end of its partition is added up anew for every row
+    along = lambda order: Window.partitionBy("_by").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    outside = wanted.select("_by", "_b", F.last("_last", True).over(along(F.asc("_b"))).alias("_p"), F.last("_first", True).over(along(F.desc("_b"))).alias("_n"))
     carried = outside.select("_by", "_b", F.explode(F.array("_p", "_n")).alias("_e")).where("_e IS NOT NULL").select("_by", "_e._ts", "_b", "_e._lo", "_e._hi")
     row_type = asked.schema["_row"].dataType
     known = one.select("_by", "_ts", "_b", "_lo", "_hi").unionByName(carried).withColumn("_row", F.lit(None).cast(row_type))
     every = known.unionByName(asked.select("_by", "_ts", "_b", nothing("_lo").alias("_lo"), nothing("_hi").alias("_hi"), "_row"))
-    w = Window.partitionBy("_by", "_b").orderBy("_ts")
+    w = Window.partitionBy("_by", "_b")
     has = F.col("_lo").isNotNull()
-    before = F.last(F.when(has, F.struct("_ts", "_hi.*")), True).over(w.rangeBetween(Window.unboundedPreceding, -1))
-    after = F.first(F.when(has, F.struct("_ts", "_lo.*")), True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    before = F.last(F.when(has, F.struct("_ts", "_hi.*")), True).over(w.orderBy("_ts").rangeBetween(Window.unboundedPreceding, -1))
+    after = F.last(F.when(has, F.struct("_ts", "_lo.*")), True).over(w.orderBy(F.desc("_ts")).rangeBetween(Window.unboundedPreceding, 0))
     unknown = F.col("_by").isNull() | F.col("_ts").isNull()
     out = every.select("_row", F.when(~unknown, before).alias("before"), F.when(~unknown, after).alias("after")).where("_row IS NOT NULL")
     return out.select("_row.*", "before", "after")

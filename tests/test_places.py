@@ -55,6 +55,17 @@ def test_nearest_equals_brute_force(spark):
         assert got[p]["clamped"] == (after is None or before is None and after[0] > t)
 
 
+def test_nearest_in_one_full_bucket(spark):
+    n = 30_000
+    samples = spark.range(n).select(F.lit("a").alias("s"), (F.col("id") * 10).alias("t"), F.col("id").alias("i"))
+    probes = spark.range(n).select(F.lit("a").alias("s"), (F.col("id") * 10 + F.col("id") % 10 - 3).alias("t"), F.col("id").alias("p"))
+    df = nearest(probes, samples, "s", "t", ["i"], None, 10**9)
+    # a frame to the end of its partition takes quadratic time
+    assert "unboundedfollowing" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    wrong = df.withColumn("off", F.col("p") % 10 - 3).where((F.col("found.i") != F.least(F.col("p") + (F.col("off") > 5).cast("long"), F.lit(n - 1))) | (F.col("delta") != F.when((F.col("off") > 5) & (F.col("p") < n - 1), 10 - F.col("off")).otherwise(F.abs("off"))))
+    assert df.count() == n and wrong.count() == 0
+
+
 def test_radius(spark):
     point = lambda rows: spark.createDataFrame([(i, float(x), float(y), float(z)) for i, (x, y, z) in enumerate(rows)], "id long, x double, y double, z double")
     of = lambda q, d, radius=25.0, dims=2: sorted((row["q"], row["d"]) for row in gt.radius_positives(point(q), point(d), radius, dims).collect())
