@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from kerbstone.operators.asof import interpolate, nearest
 from kerbstone.operators.spatial import latest_nearby, located, near_distances
+from kerbstone.runtime import parallelism
 
 #: The metric radius, and the frames that must lie between two visits of a place.
 RADIUS_M, REVISIT_SPAN = 25.0, 200
 #: Fixed value: how far a correspondence may lie from a frame.
 TOLERANCE_NS = 50_000_000
+#: Frames of an interval that one row holds before they become rows.
+PIECE_FRAMES = 65_536
 
 
 def frame_stamps(frames: DataFrame) -> DataFrame:
@@ -79,10 +82,29 @@ def map_correspondences(loops: DataFrame, reference: DataFrame, query: DataFrame
     return q.join(at("start_ts", reference, "start_index", True), "loop").join(at("end_ts", reference, "end_index", True), "loop")
 
 
+def merged_intervals(intervals: DataFrame, by: str) -> DataFrame:
+    """``by, a, b``: the intervals (from a to b) of each key, overlapping ones made one."""
+    along = Window.partitionBy(by).orderBy("a")
+    reached = F.max("b").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    own = intervals.groupBy(by, "a").agg(F.max("b").alias("b")).withColumn("new", F.coalesce((F.col("a") > reached).cast("int"), F.lit(1)))
+    return own.withColumn("run", F.sum("new").over(along)).groupBy(by, "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).select(by, "a", "b")
+
+
+def frames_of(intervals: DataFrame) -> DataFrame:
+    """``q, d``: every frame of intervals ``q, a, b`` that don't overlap.
+
+    Intervals are cut into pieces and spread before frames are made of them: frames are not shuffled, no row holds a long interval, and
+    a few rows of intervals don't end up in one task.
+    """
+    cut = intervals.select("q", F.explode(F.sequence("a", "b", F.lit(PIECE_FRAMES).cast("long"))).alias("a"), "b")
+    pieces = cut.select("q", "a", F.least(F.col("a") + (PIECE_FRAMES - 1), "b").alias("b")).repartition(parallelism(intervals.sparkSession), "q", "a")
+    return pieces.select("q", F.explode(F.sequence("a", "b")).alias("d"))
+
+
 def interval_positives(loops: DataFrame) -> DataFrame:
     """``q, d``: every frame between start and end, both included, over all loops of a query with both ends."""
     whole = loops.where("query_index IS NOT NULL AND start_index IS NOT NULL AND end_index IS NOT NULL")
-    return whole.select(F.col("query_index").alias("q"), F.explode(F.sequence(F.least("start_index", "end_index"), F.greatest("start_index", "end_index"))).alias("d")).distinct()
+    return frames_of(merged_intervals(whole.select(F.col("query_index").alias("q"), F.least("start_index", "end_index").alias("a"), F.greatest("start_index", "end_index").alias("b")), "q"))
 
 
 def inherited_intervals(loops: DataFrame, singles: DataFrame, query: DataFrame) -> DataFrame:

@@ -102,6 +102,16 @@ def test_correspondences(spark):
     assert sorted({row["q"] for row in inherited.collect()}) == [0, 1, 2, 3]
 
 
+def test_frames_of_intervals_are_not_shuffled(spark):
+    n = gt.PIECE_FRAMES
+    rows = [(0, 1, 5, 9), (1, 1, 12, 7), (2, 1, 20, 20), (3, 1, 5, 6), (4, 2, 3 * n, 10), (5, 2, 10, 11), (6, 3, 4, None), (7, None, 4, 5), (8, 4, 0, n - 1), (9, 5, 0, n)]
+    df = gt.interval_positives(spark.createDataFrame(rows, "loop long, query_index long, start_index long, end_index long"))
+    got = {r["q"]: (r["n"], r["k"], r["lo"], r["hi"]) for r in df.groupBy("q").agg(F.count("*").alias("n"), F.count_distinct("d").alias("k"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect()}
+    assert got == {1: (9, 9, 5, 20), 2: (3 * n - 9, 3 * n - 9, 10, 3 * n), 4: (n, n, 0, n - 1), 5: (n + 1, n + 1, 0, n)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Exchange")  # the outermost operator comes first
+
+
 def test_fold_extension(spark):
     folds = spark.createDataFrame([(0, "train", "1000000"), (0, "validation", "2000000"), (0, "test", "3000000"), (0, "train", "abc")], "fold int, part string, stem string")
     frames = spark.createDataFrame([("left-1", 1_200_000), ("rear-2", 2_300_000), ("right-3", 2_900_000), ("far", 9_000_000)], "stem string, ts long")
