@@ -120,17 +120,13 @@ def inherited_intervals(loops: DataFrame, singles: DataFrame, query: DataFrame)
     keys = of_loops.unionByName(of_singles).where(F.col("t").between(F.lit(span["lo"]).cast("long"), F.lit(span["hi"]).cast("long")))
     at = keys.select(F.lit("x").alias("by"), "t").distinct().withColumn("k", F.col("t"))
     got = nearest(query.select("idx", F.lit("x").alias("by"), F.col("ts").alias("t")), at, "by", "t", ["k"], bucket=None).select("idx", F.col("found.k").alias("k"))
-    # overlapping intervals of a keyframe become one
-    along = Window.partitionBy("k").orderBy("a", "b")
-    reached = F.max("b").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    own = keys.where("i IS NOT NULL").select(F.col("t").alias("k"), "i.a", "i.b").withColumn("new", F.coalesce((F.col("a") > reached).cast("int"), F.lit(1)))
-    merged = own.withColumn("run", F.sum("new").over(along)).groupBy("k", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    merged = merged_intervals(keys.where("i IS NOT NULL").select(F.col("t").alias("k"), "i.a", "i.b"), "k")
     return got.join(merged, "k").select(F.col("idx").alias("q"), "a", "b")
 
 
 def inherited_positives(loops: DataFrame, singles: DataFrame, query: DataFrame) -> DataFrame:
     """``q, d``: every frame of the ``inherited_intervals``."""
-    return inherited_intervals(loops, singles, query).select("q", F.explode(F.sequence("a", "b")).alias("d"))
+    return frames_of(inherited_intervals(loops, singles, query))
 
 
 def extend_folds(folds: DataFrame, frames: DataFrame, max_gap: int) -> DataFrame:

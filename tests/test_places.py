@@ -112,6 +112,22 @@ def test_frames_of_intervals_are_not_shuffled(spark):
     assert plan.index("Generate explode") < plan.index("Exchange")  # the outermost operator comes first
 
 
+def test_inherited_intervals_of_repeated_keyframes(spark):
+    n = gt.PIECE_FRAMES
+    query = spark.range(40).select(F.col("id").alias("idx"), (F.col("id") * 10).alias("ts"))
+    rows = [(i, 100, 5, 9) for i in range(50)] + [(50, 100, 12, 8), (51, 100, 30, 31), (52, 300, 2 * n, 1), (53, 200, 4, None)]
+    loops = spark.createDataFrame(rows, "loop long, query_ts long, start_index long, end_index long")
+    singles = spark.createDataFrame([(390,)], "ts long")
+    intervals = gt.inherited_intervals(loops, singles, query)
+    got = sorted(map(tuple, intervals.collect()))
+    assert got == sorted([(q, a, b) for q in range(16) for a, b in ((5, 12), (30, 31))] + [(q, 1, 2 * n) for q in range(26, 35)])
+    assert "unboundedfollowing" not in intervals._jdf.queryExecution().optimizedPlan().toString().lower()
+    df = gt.inherited_positives(loops, singles, query)
+    assert df.count() == df.distinct().count() == 16 * 10 + 9 * 2 * n
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Exchange") < plan.index("Generate explode", plan.index("Exchange"))  # pieces are spread
+
+
 def test_fold_extension(spark):
     folds = spark.createDataFrame([(0, "train", "1000000"), (0, "validation", "2000000"), (0, "test", "3000000"), (0, "train", "abc")], "fold int, part string, stem string")
     frames = spark.createDataFrame([("left-1", 1_200_000), ("rear-2", 2_300_000), ("right-3", 2_900_000), ("far", 9_000_000)], "stem string, ts long")
