@@ -1,22 +1,24 @@
 """Train, validation and test parts that keep related records together.
 
 Records sharing a drive or a place, also through others, form components (alternating large-star and
-small-star rounds over the keys, not the records). Components of equal size and label profile are bundled.
+small-star rounds over the keys, not the records). Components of equal size and commonest label are bundled.
 What a part still lacks is given to it of each bundle, rounded down to whole components; those left over are placed by a min-cost flow
-whose costs are what the parts' quotas, and each label's quotas, are missed by. A bundle's members are assigned by hash order.
+whose costs are what the parts' quotas, and each label's quotas, are missed by. A bundle's members are dealt to the parts in the order of
+their label profiles, of equal ones by hash, so that each profile is spread in proportion.
 """
 
 from __future__ import annotations
 
 import heapq
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbstone.llm.mixing import hash_key, prefix_sums
-from kerbstone.runtime import drop, materialise, salted_join
+from kerbstone.llm.mixing import hash_key
+from kerbstone.runtime import drop, global_number, materialise, salted_join
 
 PARTS = (("train", 0.7), ("validation", 0.1), ("test", 0.2))
 #: Keys that relate nothing.
@@ -25,7 +27,7 @@ PLACEHOLDERS = ("", "unknown", "n/a", "-")
 MOST_ROUNDS = 60
 #: Labels whose shares are balanced one by one; the rarer ones are balanced as one label.
 LABELS = 64
-#: Bundles that the driver takes. With more, profiles are rounded to sixteenths of the size, or to fewer parts of it.
+#: Bundles from which the driver warns that it takes long; the result doesn't depend on it. Of n records there are at most sqrt(2 * LABELS * n).
 MOST_BUNDLES = 500_000
 #: What a record beyond a label's quota costs, where one beyond a part's quota costs 1.
 LABEL_COST = 0.01
@@ -99,10 +101,10 @@ def related(records: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Bundle:
-    """``count`` components of ``size`` records, ``profile[i]`` of them with the i-th label."""
+    """``count`` components of ``size`` records, ``profile[i]`` of them, on average, with the i-th label."""
 
     size: int
-    profile: tuple[int, ...]
+    profile: tuple[float, ...]
     count: int
 
 
@@ -215,33 +217,41 @@ def profiles(members: DataFrame) -> DataFrame:
     return each.select("group_id", "size", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("by", i), F.lit(0).cast("long"))).alias("profile"))
 
 
-def coarsened(groups: DataFrame) -> DataFrame:
-    """Adds ``kind``: the profile, in parts of the size where there would be more than MOST_BUNDLES otherwise."""
-    for grain in (None, 16, 4, 1, 0):
-        kind = F.col("profile") if grain is None else F.transform("profile", lambda n, g=grain: F.round(n * g / F.col("size")).cast("long"))
-        got = groups.withColumn("kind", kind)
-        if got.select("size", "kind").distinct().count() <= MOST_BUNDLES:
-            break
-    return got
+def dealt(position: Column, count: Column, given: Column, parts: int) -> Column:
+    """The part (0, 1, ...) of the component at a 0-based position of a bundle that gives ``given[j]`` of its ``count`` to part j.
+
+    Each part's components lie evenly among those that the parts before it leave.
+    """
+    part, left, at = F.lit(None).cast("int"), count, position
+    taken = lambda k, t, n: F.call_function("div", k * t * 2 + n, n * 2)  # noqa: E731  # of the first k
+    for j in range(parts):
+        t = given[j]
+        before = taken(at, t, left)
+        part = F.coalesce(part, F.when(taken(at + 1, t, left) > before, F.lit(j)))
+        at, left = at - before, F.greatest(left - t, F.lit(1))
+    return part
 
 
 def assign_parts(records: DataFrame, parts: tuple[tuple[str, float], ...] = PARTS, seed: int = 42) -> DataFrame:
     """``record_id, group_id, part``: every record, groups whole, shares of records as near as can be.
 
-    Bundles are collected to solve the flow, at most MOST_BUNDLES (sizes alone number at most the square root of twice the
-    records); their cuts go back by a broadcast of as many rows. A null source is a label of its own.
+    Bundles of equal size and commonest label are collected to solve the flow with their mean profiles; with LABELS labels they number at most the
+    square root of 2 * LABELS times the records. What the parts are given goes back by a broadcast of as many rows. A null source is a label of its own.
     """
     spark = records.sparkSession
     members = materialise(grouped(records), "grouped")
-    groups = coarsened(profiles(members)).withColumn("key", hash_key(seed, F.col("group_id"))).withColumn("one", F.lit(1))
-    groups = materialise(groups, "groups")
-    found = groups.groupBy("size", "kind").agg(F.count("*").alias("n"), F.min("profile").alias("profile")).collect()
+    kind = F.array_position("profile", F.array_max("profile"))
+    groups = materialise(profiles(members).select("group_id", "size", "profile", kind.alias("kind"), hash_key(seed, F.col("group_id")).alias("key")), "groups")
+    width = groups.agg(F.max(F.size("profile"))).first()[0] or 0
+    found = groups.groupBy("size", "kind").agg(F.count("*").alias("n"), F.array(*[F.avg(F.col("profile")[i]) for i in range(width)]).alias("profile")).orderBy("size", "kind").collect()
+    if len(found) > MOST_BUNDLES:
+        warnings.warn(f"{len(found)} bundles are placed on the driver", stacklevel=2)
     bundles = [Bundle(r["size"], tuple(r["profile"]), r["n"]) for r in found]
     placed = allocate(bundles, parts)
-    rows = [(r["size"], r["kind"], i, [sum(placed[b][: j + 1]) for j in range(len(parts))]) for i, (r, b) in enumerate(zip(found, bundles, strict=True))]
-    cuts = F.broadcast(spark.createDataFrame(rows, "size long, kind array<long>, bundle int, cuts array<long>"))
-    ranked = prefix_sums(groups.join(cuts, ["size", "kind"]), "bundle", "key", "group_id", "one")
-    part = F.coalesce(*[F.when(F.col("before") < F.col("cuts")[j], F.lit(name)) for j, (name, _) in enumerate(parts)])
+    rows = [(r["size"], r["kind"], i, r["n"], placed[b]) for i, (r, b) in enumerate(zip(found, bundles, strict=True))]
+    given = F.broadcast(spark.createDataFrame(rows, "size long, kind long, bundle int, count long, given array<long>"))
+    ranked = global_number(groups.join(given, ["size", "kind"]), ["bundle"], ["profile", "key", "group_id"], "position")
+    part = F.array(*[F.lit(name) for name, _ in parts])[dealt(F.col("position"), F.col("count"), F.col("given"), len(parts))]
     return salted_join(members.select("record_id", "group_id"), ranked.select("group_id", part.alias("part")), ["group_id"], "record_id")
 
 

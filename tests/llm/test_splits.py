@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kerbstone.llm import splits
 from kerbstone.llm.splits import Bundle, Flow, allocate, assign_parts, components, related
@@ -128,6 +129,27 @@ def test_labels_and_profiles_beyond_the_bounds(spark, monkeypatch):
     assert sum(n.values()) == 900 and abs(n["train"] - 630) <= 3 and abs(n["validation"] - 90) <= 3
 
 
+def test_parts_dont_depend_on_a_bound_of_bundles(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i, r.choice("aaab" if i % 4 else "cd"), f"g{i // (1 + i % 5)}", None) for i in range(1500)]
+    of = lambda: {x["record_id"]: x["part"] for x in assign_parts(make(spark, rows)).collect()}
+    want = of()
+    monkeypatch.setattr(splits, "MOST_BUNDLES", 5)
+    assert of() == want
+
+
+def test_components_are_dealt_evenly(spark):
+    cases = [(n, [a, b, n - a - b]) for n in range(1, 15) for a in range(n + 1) for b in range(n - a + 1)] + [(2_000_000_001, [1_400_000_000, 200_000_001, 400_000_000])]
+    df = spark.createDataFrame(cases, "n long, given array<long>").selectExpr("n", "given", "explode(sequence(0L, least(n, 15L) - 1)) AS k")
+    got = defaultdict(list)
+    for x in df.select("n", "given", "k", splits.dealt(F.col("k"), F.col("n"), F.col("given"), 3).alias("p")).orderBy("k").collect():
+        got[x["n"], tuple(x["given"])].append(x["p"])
+    for (n, given), to in got.items():
+        if n < 15:
+            assert [to.count(j) for j in range(3)] == list(given)
+        assert all(abs(to[:k].count(j) - k * given[j] / n) <= 1.5 for j in range(3) for k in range(len(to) + 1))
+
+
 def test_p4_parts_on_the_tables(spark, small):
     from kerbstone.llm.plans import p4_parts
 
